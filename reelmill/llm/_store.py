@@ -40,8 +40,13 @@ def narrow(df: DataFrame, keys: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(keys) if row_bytes <= BROADCAST_ROW_BYTES and keys.count() <= BROADCAST_ROWS else keys
 
 
-def arrow_rows(spark: SparkSession, rows: int = 512) -> None:
-    """Readies the session for Python operators: batches of at most so many rows, so that very long texts don't add up."""
+def arrow_rows(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Readies the session for Python operators.
+
+    A batch for Python holds at most so many rows and about so many bytes, so that very long texts don't add up. Shuffle files
+    go when the query that wrote them has ended; what later queries need is in settled tables.
+    """
     ship(spark)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")

@@ -31,9 +31,23 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "bad_chunks", "n_chunks")
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexicon import encode_decode
+
+    return encode_decode(_docs(spark, sf_dir), contents=False)
+
+
+def op10_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rans import read, write
+
+    return read(*write(_docs(spark, sf_dir)), contents=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_secrets": op2_secrets,
     "op4_quality": op4_quality,
+    "op8_bpe": op8_bpe,
+    "op10_rans": op10_rans,
 }
 ORACLES: dict[str, str] = {}
