@@ -1,18 +1,18 @@
-"""Token ids as the tokenizers library gives them, with each distinct word sent through the library once a worker.
+"""Token ids as the tokenizers library gives them, at several times its speed.
 
 A text of the plain alphabet (ASCII, Latin letters to U+017F, general punctuation) is cut by a pattern that equals the
-tokenizer's own on that alphabet; each piece's ids come from a bounded cache filled by the library. Any other text, and any text
-that may hold a special token, goes through the library whole.
+tokenizer's own on that alphabet; each piece's ids come from a bounded cache or from a merge loop over the same vocabulary. Any
+other text, and any text that may hold a special token, goes through the library whole. Tests hold the ids against the library's.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
 END_ID = 1
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 _PLAIN = re.compile("[^\t\n\r\x0b\x0c\x20-\x7e¡-¬®-±´-¸º»¿-ſ‐-‧‰-⁞]")
@@ -22,24 +22,62 @@ _PIECES = {
 }
 
 
+def _byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable Latin-1 stands for itself, the rest
+    follow from U+0100 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    out = {chr(b): b for b in own}
+    return out | {chr(0x100 + i): b for i, b in enumerate(b for b in range(256) if b not in own)}
+
+
+def _merger(path: str):
+    """piece -> ids, by tiktoken's merge loop over the file's vocabulary, or None if its ids don't rise with its merges.
+
+    An end-of-word suffix is written as byte 0xFF, which UTF-8 never holds; the 256 ids of a byte with the suffix precede all
+    merges, so the loop joins the two first, as the library starts from them.
+    """
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    vocab, suffix, byte_of = model["vocab"], model["end_of_word_suffix"] or "", _byte_of()
+    end = b"\xff" if suffix else b""
+
+    def raw(token: str) -> bytes:
+        tail = suffix and token.endswith(suffix)
+        return bytes(byte_of[c] for c in (token[: -len(suffix)] if tail else token)) + (end if tail else b"")
+
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    ids = [vocab[a + b] for a, b in merges]
+    ranks = {raw(t): vocab[t] for pair in merges for t in pair} | {raw(a + b): vocab[a + b] for a, b in merges}
+    singles = [t + x for t in byte_of for x in {"", suffix}]
+    if ids != sorted(set(ids)) or any(t not in vocab or vocab[t] >= ids[0] for t in singles) or model.get("dropout") or model.get("ignore_merges"):
+        return None
+    ranks |= {raw(t): vocab[t] for t in singles if t != suffix}
+    if suffix:
+        ranks[end] = 1 << 30
+    single = tiktoken.Encoding("pieces", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+    return lambda piece: single(piece.encode() + end)
+
+
 class _Words(dict):
-    """Piece to its ids as little-endian unsigned 32-bit integers; emptied when it holds `limit` pieces."""
+    """Piece to its ids as little-endian unsigned 32-bit integers; takes in no more than `limit` pieces."""
 
     def __init__(self, encode, limit: int):
         super().__init__()
         self._encode, self._limit = encode, limit
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self._limit:
-            self.clear()
-        ids = self[piece] = np.array(self._encode(piece), dtype="<u4").tobytes()
+        ids = array("I", self._encode(piece)).tobytes()
+        if len(self) < self._limit and len(piece) <= 32:
+            self[piece] = ids
         return ids
 
 
 class Encoder:
     """ids(text) -> bytes of little-endian unsigned 32-bit ids."""
 
-    def __init__(self, path: str, cache: int = 300_000):
+    def __init__(self, path: str, cache: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -49,7 +87,8 @@ class Encoder:
         self.lower = self.tokenizer.normalizer is not None
         self._pieces = _PIECES["word" if self.lower else "byte"].findall
         self._special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self._words = _Words(self.library, cache)
+        self.merge = _merger(path) or self.library
+        self._words = _Words(self.merge, cache)
 
     def library(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -65,7 +104,7 @@ class Encoder:
             return b""
         pieces = self.pieces(text)
         if pieces is None:
-            return np.array(self.library(text), dtype="<u4").tobytes()
+            return array("I", self.library(text)).tobytes()
         return b"".join(map(self._words.__getitem__, pieces))
 
 
