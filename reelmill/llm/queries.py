@@ -43,11 +43,25 @@ def op10_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(*write(_docs(spark, sf_dir)), contents=False)
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import report
+
+    return report(_docs(spark, sf_dir))
+
+
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import dedup
+
+    return dedup(_docs(spark, sf_dir)).drop("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_secrets": op2_secrets,
     "op4_quality": op4_quality,
+    "op6_langid": op6_langid,
     "op8_bpe": op8_bpe,
+    "op9_substrings": op9_substrings,
     "op10_rans": op10_rans,
 }
 ORACLES: dict[str, str] = {}
