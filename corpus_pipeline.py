@@ -1,29 +1,63 @@
-"""The corpus pipeline: quality rules, near duplicates, repeated passages, secrets, packing."""
+"""The corpus pipeline: quality rules, near duplicates, repeated passages, secrets, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs. Null text passes the later
+stages as null and is rejected by the first.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reelmill.llm._store import settled
+from reelmill.llm.near import representatives
+from reelmill.llm.packing import pack
+from reelmill.llm.quality import judge
+from reelmill.llm.secrets import redacted
+from reelmill.llm.substring import remove
+
+
+def _counted(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, n_chars again that of the text."""
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression bands keep."""
-    from reelmill.llm.quality import judge
+    keep = judge(docs).where("kept")
+    return keep.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates, the smallest doc_id."""
+    return representatives(docs)
 
-    return judge(docs.withColumn("text", F.coalesce("text", F.lit("")))).where("kept").select(*docs.columns)
 
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the words of windows that begin in an earlier document too."""
+    return _counted(remove(docs), docs)
 
-STAGES = [("quality", quality)]
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with each secret replaced by its kind in brackets."""
+    return _counted(redacted(docs), docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of power-of-two length, none across documents."""
+    return pack(docs)
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeats", repeats), ("secrets", secrets), ("packing", packing)]
+#: SQL has no zstandard ratio and no tokenizer; tests hold the stages against plain Python versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet and read again as the next one's input."""
-    from reelmill.llm._store import settled
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = settled(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = settled(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

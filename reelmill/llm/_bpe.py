@@ -85,7 +85,8 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.lower = self.tokenizer.normalizer is not None
-        self._pieces = _PIECES["word" if self.lower else "byte"].findall
+        pattern = _PIECES["word" if self.lower else "byte"]
+        self._pieces, self.cutter = pattern.findall, pattern.match
         self._special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.merge = _merger(path) or self.library
         self._words = _Words(self.merge, cache)

@@ -24,6 +24,12 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(_docs(spark, sf_dir))
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near import similar
+
+    return similar(_docs(spark, sf_dir))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge
 
@@ -31,6 +37,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "bad_chunks", "n_chunks")
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import search
+
+    return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lexicon import encode_decode
 
@@ -43,6 +55,12 @@ def op10_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(*write(_docs(spark, sf_dir)), contents=False)
 
 
+def op5_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokencount import report
+
+    return report(_docs(spark, sf_dir))
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import report
 
@@ -58,8 +76,11 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_secrets": op2_secrets,
+    "op3_jaccard": op3_jaccard,
     "op4_quality": op4_quality,
+    "op5_tokencount": op5_tokencount,
     "op6_langid": op6_langid,
+    "op7_ann": op7_ann,
     "op8_bpe": op8_bpe,
     "op9_substrings": op9_substrings,
     "op10_rans": op10_rans,

@@ -124,3 +124,18 @@ def redact(text: str, spans: list) -> str:
     return "".join(out) + text[at:]
 
 
+
+
+def redacted(docs: DataFrame, ledger: Ledger | None = None) -> DataFrame:
+    """docs with redact() applied to text; rows without findings, null text among them, as they were."""
+
+    def run(texts, spans):
+        import pandas as pd
+
+        return pd.Series([None if t is None else redact(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
+
+    cut = F.pandas_udf(run, "string")
+    found = F.size("__spans") > 0
+    out = scan(docs, ledger).withColumnRenamed("spans", "__spans")
+    out = out.withColumn("text", F.when(found, cut(F.when(found, F.col("text").cast("string")), F.col("__spans"))).otherwise(F.col("text")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
