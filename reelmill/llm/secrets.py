@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,9 +130,7 @@ def redact(text: str, spans: list) -> str:
 def redacted(docs: DataFrame, ledger: Ledger | None = None) -> DataFrame:
     """docs with redact() applied to text; rows without findings, null text among them, as they were."""
 
-    def run(texts, spans):
-        import pandas as pd
-
+    def run(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else redact(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
     cut = F.pandas_udf(run, "string")

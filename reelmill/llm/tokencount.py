@@ -10,15 +10,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._bpe import Encoder, encoder, vocabulary
 from ._store import arrow_rows
 
 #: Pre-tokens of a leaf when a tree is built; a leaf that grows past GROWN times that has its tree built anew.
-LEAF, GROWN = 32, 16
+LEAF, GROWN = 8, 32
 #: Characters and leaves of context re-cut before an edit.
 CONTEXT = 4
 
@@ -127,14 +129,10 @@ def build(docs: DataFrame, path: str | None = None) -> DataFrame:
     """
     path = path or vocabulary("byte_bpe_50k.json")
 
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        enc = encoder(path)
-        for texts in batches:
-            trees = [Tree(enc, t or "") for t in texts]
-            made = [t.leaves() for t in trees]
-            yield pd.DataFrame({"n_tokens": [t.count for t in trees], "chars": [m[0] for m in made], "tokens": [m[1] for m in made]})
+    def run(texts: pd.Series) -> pd.DataFrame:
+        trees = [Tree(encoder(path), t or "") for t in texts]
+        made = [t.leaves() for t in trees]
+        return pd.DataFrame({"n_tokens": [t.count for t in trees], "chars": [m[0] for m in made], "tokens": [m[1] for m in made]})
 
     arrow_rows(docs.sparkSession)
     grown = F.pandas_udf(run, "n_tokens long, chars array<int>, tokens array<int>")
@@ -152,7 +150,7 @@ def update(trees: DataFrame, path: str | None = None) -> DataFrame:
     rest = [c for c in trees.columns if c not in ("text", "tree", "n_tokens", "edits", "encoded")]
     schema = trees.select(*[F.col(f"`{c}`") for c in rest]).schema.add("text", "string").add("n_tokens", "long").add("encoded", "long")
     for part in ("__chars", "__tokens"):
-        schema = schema.add(part, "array<int>")
+        schema = schema.add(part, T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, n = encoder(path), len(rest)
