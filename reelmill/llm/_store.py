@@ -1,40 +1,22 @@
-"""Tables that cut lineage, kept in the folder that every executor shares."""
+"""Session settings and checked broadcasts for the operators of this subpackage."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import new_path, settled, ship
+
+__all__ = ["arrow_rows", "narrow", "new_path", "settled", "spread"]
+
+#: Bytes of input that one task of a packed exchange stands for.
+TASK_BYTES = 128 << 20
 
 #: Rows and bytes a row up to which a table may be broadcast; beyond either the join shuffles both sides.
 BROADCAST_ROWS = 500_000
 BROADCAST_ROW_BYTES = 64
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests on one machine) a folder of this process."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="reelmill-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: whatever follows survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def narrow(df: DataFrame, keys: DataFrame, row_bytes: int) -> DataFrame:
     """keys, marked for broadcast if their counted rows and the stated width of a row stay within the bound."""
     return F.broadcast(keys) if row_bytes <= BROADCAST_ROW_BYTES and keys.count() <= BROADCAST_ROWS else keys
@@ -50,3 +32,9 @@ def arrow_rows(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> No
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def spread(df: DataFrame) -> int:
+    """Tasks for an exchange of about as many bytes as df: its size by the optimizer's estimate, and no fewer than the session's."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // TASK_BYTES, 1_000_000))

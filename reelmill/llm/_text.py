@@ -72,12 +72,6 @@ class Words:
     def of(self, i: int) -> np.ndarray:
         return self.hashes[self.before[i] : self.before[i + 1]]
 
-    def words(self, i: int) -> list[bytes]:
-        data = self.data.tobytes() if not hasattr(self, "_bytes") else self._bytes
-        self._bytes = data
-        a, b = self.before[i], self.before[i + 1]
-        return [data[s:e] for s, e in zip(self.starts[a:b].tolist(), self.ends[a:b].tolist(), strict=True)]
-
 
 def windows(hashes: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     """Fingerprint of each window of `size` consecutive symbols; none if there are fewer."""

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import arrow_rows, narrow, settled
+from ._store import arrow_rows, narrow, settled, spread
 from ._text import Words, mix, windows
 from .components import connected_components
 
@@ -182,10 +182,9 @@ def _verified(named: DataFrame, nodes: DataFrame, candidates: DataFrame) -> Data
     sketched = texts.select("sid", "root", "size", "copies", "text").mapInArrow(sketch, "sid binary, root binary, size long, copies long, grams binary, hashes binary")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
-    spread = sketched.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "blocks", "sid", "copies", "grams", "hashes")
-    parts = max(4 * named.rdd.getNumPartitions(), int(named.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    tasks = spread.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "sid")
+    pairs = sketched.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = pairs.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "blocks", "sid", "copies", "grams", "hashes")
+    tasks = pairs.repartition(spread(named), "root", "i", "j").sortWithinPartitions("root", "i", "j", "sid")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []

@@ -17,11 +17,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import arrow_rows, narrow, settled
+from ._store import arrow_rows, narrow, settled, spread
 from ._text import Words, mix, windows
 
 WINDOW = 13
@@ -68,7 +69,8 @@ def recompress(names: np.ndarray, begins: np.ndarray, plan: list[str]) -> tuple[
 
 
 def anchors(words: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """The name of each window's anchor: of the symbols whose bounds the window fixes, the longest, ties by a hash."""
+    """The key of each window's anchor: of the symbols whose bounds the window fixes, that of the smallest name. The key names
+    the symbol and the words to either side that fix its bounds, all of them inside the window."""
     n = len(words) - window + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
@@ -76,10 +78,13 @@ def anchors(words: np.ndarray, window: int = WINDOW) -> np.ndarray:
     side = 2 ** len(plan) - 1
     names, begins = recompress(words, np.arange(len(words)), plan)
     size = np.diff(np.append(begins, len(words)))
+    ends = begins + size
     best = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-    out = np.zeros(n, np.uint64)
-    top = np.uint64(1 << (len(plan) + 1))
-    rank = ((top - size.astype(np.uint64)) << np.uint64(48)) | (mix(names) >> np.uint64(16))
+    key = np.zeros(n, np.uint64)
+    rank, around = mix(names ^ _salt(50)), windows(words, side, 3)
+    full = names * np.uint64(5)
+    inside = np.flatnonzero((begins >= side) & (ends + side <= len(words)))
+    full[inside] = mix(full[inside] + around[begins[inside] - side] * np.uint64(3) + around[ends[inside]])
     at = np.full(len(words) + 1, -1)
     at[begins] = np.arange(len(begins))
     inner = window - 2 * side
@@ -89,8 +94,8 @@ def anchors(words: np.ndarray, window: int = WINDOW) -> np.ndarray:
         ok[ok] = size[k[ok]] <= inner - d
         better = np.flatnonzero(ok)
         better = better[rank[k[better]] < best[better]]
-        best[better], out[better] = rank[k[better]], names[k[better]]
-    return out
+        best[better], key[better] = rank[k[better]], full[k[better]]
+    return key
 
 
 def _named(docs: DataFrame) -> DataFrame:
@@ -153,20 +158,42 @@ def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return by, np.cumsum(new) - 1
 
 
-def _answers(did: np.ndarray | None, th: np.ndarray, value: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A row for each document: its values, packed."""
+_ANSWER = "bucket int, did binary, th binary, value binary"
+
+
+def _answers(did: np.ndarray | None, th: np.ndarray, value: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """A row for each bucket of documents: did, th and value of its answers, packed. The row count doesn't depend on documents."""
     if not len(th):
         return
     did = np.zeros(len(th), np.int64) if did is None else did
-    by = np.lexsort((th, did))
-    did, th, value = did[by], th[by], value[by]
-    cut = np.flatnonzero(np.append(True, (did[1:] != did[:-1]) | (th[1:] != th[:-1])))
-    ends = np.append(cut[1:], len(did))
-    packed = [value[a:b].tobytes() for a, b in zip(cut.tolist(), ends.tolist(), strict=True)]
-    yield pa.RecordBatch.from_arrays([pa.array(did[cut]), pa.array(th[cut]), pa.array(packed, pa.binary())], names=["did", "th", "value"])
+    bucket = (mix(th.view(np.uint64) + _salt(7)) % np.uint64(buckets)).astype(np.int32)
+    by = np.lexsort((did, th, bucket))
+    cut = np.flatnonzero(np.diff(bucket[by], prepend=-1))
+    ends = np.append(cut[1:], len(by))
+    pack = lambda x: pa.array([x[by[a:b]].tobytes() for a, b in zip(cut.tolist(), ends.tolist(), strict=True)], pa.binary())
+    yield pa.RecordBatch.from_arrays([pa.array(bucket[by[cut]]), pack(did), pack(th), pack(value)], names=["bucket", "did", "th", "value"])
 
 
-_ANSWER = "did long, th long, value binary"
+def _joined(answers: DataFrame, kind: str, buckets: int) -> DataFrame:
+    """did, th, value: a row for each document with its answers, as many as its words at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[list[bytes]] = [[], [], []]
+        for batch in batches:
+            for out, col in zip(parts, batch.columns[1:], strict=True):
+                out += col.to_pylist()
+        did, th, value = (np.frombuffer(b"".join(p), k) for p, k in zip(parts, ("<i8", "<i8", kind), strict=True))
+        if not len(th):
+            return
+        by = np.lexsort((did, th))
+        did, th, value = did[by], th[by], value[by]
+        cut = np.flatnonzero(np.append(True, (did[1:] != did[:-1]) | (th[1:] != th[:-1])))
+        ends = np.append(cut[1:], len(did))
+        for i in range(0, len(cut), 4096):
+            packed = [value[a:b].tobytes() for a, b in zip(cut[i : i + 4096].tolist(), ends[i : i + 4096].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(did[cut[i : i + 4096]]), pa.array(th[cut[i : i + 4096]]), pa.array(packed, pa.binary())], names=["did", "th", "value"])
+
+    return answers.repartition(buckets, "bucket").mapInArrow(run, "did long, th long, value binary")
 
 
 def shared_anchors(named: DataFrame, window: int, buckets: int) -> DataFrame:
@@ -206,20 +233,16 @@ def shared_anchors(named: DataFrame, window: int, buckets: int) -> DataFrame:
             return
         key, _, th, _, mark = got
         there = mark == 2
-        yield from _answers(None, th[there], key[there, 0])
+        yield from _answers(None, th[there], key[there, 0], buckets)
         key, th, mark = key[~there], th[~there], mark[~there]
         if not len(key):
             return
         by, group = _groups(key)
         ask = by[(np.bincount(group)[group] > 1) & (mark[by] == 1)]
-        yield from _answers(None, th[ask], key[ask, 0])
-
-    return named.select("did", "th", "text").mapInArrow(send, _SENT).repartition(buckets, "bucket").mapInArrow(answer, _ANSWER).drop("did")
-
+        yield from _answers(None, th[ask], key[ask, 0], buckets)
 
-def _joined(answers: DataFrame, *key: str) -> DataFrame:
-    """One row for each key; a text's values are as many as its words at most."""
-    return answers.groupBy(*key).agg(F.aggregate(F.collect_list("value"), F.lit(b""), lambda a, b: F.concat(a, b)).alias("value"))
+    told = named.select("did", "th", "text").mapInArrow(send, _SENT).repartition(buckets, "bucket").mapInArrow(answer, _ANSWER)
+    return _joined(told, "<u8", buckets).drop("did")
 
 
 def repeated_windows(named: DataFrame, marked: DataFrame, window: int, buckets: int) -> DataFrame:
@@ -260,7 +283,7 @@ def repeated_windows(named: DataFrame, marked: DataFrame, window: int, buckets:
             return
         key, did, th, place, mark = got
         there = mark == 2
-        yield from _answers(did[there], th[there], place[there])
+        yield from _answers(did[there], th[there], place[there], buckets)
         key, did, th, place = key[~there], did[~there], th[~there], place[~there]
         if not len(key):
             return
@@ -268,11 +291,12 @@ def repeated_windows(named: DataFrame, marked: DataFrame, window: int, buckets:
         least = np.full(group[-1] + 1, LAST)
         np.minimum.at(least, group, did[by])
         late = by[did[by] > least[group]]
-        yield from _answers(did[late], th[late], place[late])
+        yield from _answers(did[late], th[late], place[late], buckets)
 
     text = named.join(narrow(named, marked.select("th"), 16), "th", "left_semi")  # where few texts are marked, only those are shuffled
     with_marks = text.join(marked, "th").select("did", "th", "text", "value")
-    return with_marks.mapInArrow(send, _SENT).repartition(buckets, "bucket").mapInArrow(answer, _ANSWER)
+    told = with_marks.mapInArrow(send, _SENT).repartition(buckets, "bucket").mapInArrow(answer, _ANSWER)
+    return _joined(told, "<i4", buckets)
 
 
 def covered(n_words: int, value: bytes | None, window: int) -> np.ndarray:
@@ -290,9 +314,9 @@ def marks(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spark = docs.sparkSession
     arrow_rows(spark)
     named = _named(docs)
-    buckets = max(4 * docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    marked = settled(_joined(shared_anchors(named, window, buckets), "th"), "anchors")
-    return settled(_joined(repeated_windows(named, marked, window, buckets), "did", "th"), "repeats")
+    buckets = spread(docs)
+    marked = settled(shared_anchors(named, window, buckets), "anchors")
+    return settled(repeated_windows(named, marked, window, buckets), "repeats")
 
 
 def _with_marks(docs: DataFrame, window: int) -> DataFrame:
@@ -312,10 +336,9 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, values = Words(batch.column(1)), batch.column(2).to_pylist()
             n, gone, kept = [], [], []
-            for i, value in enumerate(values):
-                own = words.words(i)
+            for text, value in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                own = (text or b"").split()  # bytes are split at just the blanks that part words
                 if value:
                     out = covered(len(own), value, window)
                     gone.append(int(out.sum()))
@@ -336,27 +359,23 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with repeated words cut from text; text of documents without any is left byte for byte, other columns as they are."""
 
-    def run(texts: Iterator) -> Iterator:
-        for text, value in texts:
-            column = pa.array(text, pa.string())
-            words = Words(column)
-            out = []
-            for i, (t, v) in enumerate(zip(text, value, strict=True)):
-                if t is None or not v:
-                    out.append(t)
-                    continue
-                gone = covered(words.before[i + 1] - words.before[i], v, window)
-                raw, base = t.encode(), words.offsets[i]
-                parts, at = [], 0
-                for k in np.flatnonzero(gone).tolist():  # a word goes with the blanks after it
-                    w = words.before[i] + k
-                    parts.append(raw[at : words.starts[w] - base])
-                    at = int(words.starts[w + 1] - base) if w + 1 < words.before[i + 1] else len(raw)
-                out.append(b"".join([*parts, raw[at:]]).decode())
-            import pandas as pd
-
-            yield pd.Series(out, dtype=object)
+    def run(texts: pd.Series, values: pd.Series) -> pd.Series:
+        words = Words(pa.array(texts, pa.string()))
+        out = []
+        for i, (t, v) in enumerate(zip(texts, values, strict=True)):
+            if t is None or not v:
+                out.append(t)
+                continue
+            gone = covered(words.before[i + 1] - words.before[i], v, window)
+            raw, base = t.encode(), words.offsets[i]
+            parts, at = [], 0
+            for k in np.flatnonzero(gone).tolist():  # a word goes with the blanks after it
+                w = words.before[i] + k
+                parts.append(raw[at : words.starts[w] - base])
+                at = int(words.starts[w + 1] - base) if w + 1 < words.before[i + 1] else len(raw)
+            out.append(b"".join([*parts, raw[at:]]).decode())
+        return pd.Series(out, dtype=object)
 
     arrow_rows(docs.sparkSession)
     cut = F.pandas_udf(run, "string")
-    return _with_marks(docs, window).withColumn("text", F.when(F.col("__value").isNull(), F.col("text")).otherwise(cut(F.col("text"), F.col("__value")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _with_marks(docs, window).withColumn("text", F.when(F.col("__value").isNull(), F.col("text")).otherwise(cut(F.when(F.col("__value").isNotNull(), F.col("text").cast("string")), F.col("__value")))).select(*[F.col(f"`{c}`") for c in docs.columns])
