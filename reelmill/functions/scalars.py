@@ -123,8 +123,9 @@ def bank_bits(n) -> Column:
 
 
 def size_label(n) -> Column:
+    """Bytes, KiB with one digit or MiB with two, halves to even."""
     n = col(n)
-    return F.when(n < 1024, F.format_string("%d B", n.cast("long"))).when(n < 1 << 20, F.format_string("%.1f KiB", n / 1024.0)).otherwise(F.format_string("%.2f MiB", n / 1048576.0))
+    return F.when(n < 1024, F.format_string("%d B", n.cast("long"))).when(n < 1 << 20, F.format_string("%.1f KiB", F.bround(n / 1024.0, 1))).otherwise(F.format_string("%.2f MiB", F.bround(n / 1048576.0, 2)))
 
 
 def fixed(v, digits: int) -> Column:
