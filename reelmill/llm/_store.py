@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import new_path, settled, ship
 
-__all__ = ["arrow_rows", "narrow", "new_path", "settled", "spread"]
+__all__ = ["arrow_rows", "most_frequent", "narrow", "new_path", "settled", "spread"]
 
 #: Bytes of input that one task of a packed exchange stands for.
 TASK_BYTES = 128 << 20
@@ -35,6 +35,25 @@ def arrow_rows(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> No
 
 
 def spread(df: DataFrame) -> int:
-    """Tasks for an exchange of about as many bytes as df: its size by the optimizer's estimate, and no fewer than the session's."""
+    """Tasks for an exchange of about as many bytes as df: its size by the optimizer's estimate, and no fewer than the session's.
+    An estimate of a petabyte or more means that the size is unknown; then there are four tasks for each partition of df."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // TASK_BYTES, 1_000_000))
+    tasks = size // TASK_BYTES if size < 1 << 50 else 4 * df.rdd.getNumPartitions()
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), tasks)
+
+
+def most_frequent(counted: DataFrame, item: str, k: int) -> DataFrame:
+    """The k rows of the largest n, ties by item, of distinct items.
+
+    A histogram of n (up to 65,536 rows) gives the least n that the k have; only rows that reach it are sorted, so that neither
+    the driver nor the last task meets k rows from every partition.
+    """
+    width = 1 << 16
+    sizes = {r.n: r["count"] for r in counted.groupBy(F.least("n", F.lit(width)).alias("n")).count().collect()}
+    least, held = 1, 0
+    for n in sorted(sizes, reverse=True):
+        held += sizes[n]
+        if held >= k:
+            least = n
+            break
+    return counted.where(F.col("n") >= least).orderBy(F.desc("n"), item).limit(k)

@@ -85,4 +85,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substrings": op9_substrings,
     "op10_rans": op10_rans,
 }
-ORACLES: dict[str, str] = {}
+_WORDS = r"d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)"
+ORACLES: dict[str, str] = {
+    "op3_jaccard": f"""WITH RECURSIVE {_WORDS},
+ g AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS u(i) WHERE len(w) > 0),
+ z AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+ c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+ l AS (SELECT x, y FROM c JOIN z p ON p.doc_id = x JOIN z q ON q.doc_id = y WHERE 5 * c.n >= 4 * (p.n + q.n - c.n)),
+ r(x, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.x),
+ k AS (SELECT x, min(root) AS class_id FROM r GROUP BY 1), n AS (SELECT x, count(*) AS n_links FROM l GROUP BY 1)
+ SELECT k.x AS doc_id, class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links FROM k LEFT JOIN n ON n.x = k.x""",
+    "op9_substrings": f"""WITH {_WORDS},
+ v AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS s FROM d, unnest(range(1, len(w) - 11)) AS u(i)),
+ f AS (SELECT s, min(doc_id) AS m FROM v GROUP BY s),
+ c AS (SELECT DISTINCT v.doc_id, i + k AS p FROM v JOIN f ON f.s = v.s CROSS JOIN range(0, 13) AS r(k) WHERE m < v.doc_id),
+ x AS (SELECT doc_id, p, w[p] AS word FROM d, unnest(range(1, len(w) + 1)) AS u(p)),
+ y AS (SELECT x.doc_id, count(*) AS n, count(c.p) AS gone, string_agg(word, ' ' ORDER BY x.p) FILTER (WHERE c.p IS NULL) AS kept FROM x LEFT JOIN c ON c.doc_id = x.doc_id AND c.p = x.p GROUP BY 1)
+ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN y ON y.doc_id = d.doc_id""",
+}

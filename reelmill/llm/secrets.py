@@ -89,14 +89,18 @@ def scan(docs: DataFrame, ledger: Ledger | None = None, rule_version: str = RULE
     Null text: empty. Null doc_id: a path like any other. Repeated rows: one blob, findings on each row. Ties between kinds at
     one start: in the order of KINDS. Empty table: no rows. Very long texts: whole. A column of docs named spans is replaced.
     """
+    return _found(docs, ledger, rule_version).drop("spans").withColumnRenamed("__spans", "spans")
+
+
+def _found(docs: DataFrame, ledger: Ledger | None, rule_version: str = RULE_VERSION) -> DataFrame:
+    """docs with column __spans."""
     spark = docs.sparkSession
     arrow_rows(spark)
     ledger = ledger or Ledger(spark)
     ledger.update(docs.select(F.col("doc_id").alias("path"), blob(F.col("text")).alias("blob"), F.col("text").cast("string").alias("text")), rule_version)
-    found = ledger.findings(rule_version).withColumnRenamed("blob", "__blob")
-    rest = docs.drop("spans").withColumn("__blob", blob(F.col("text")))
+    found = ledger.findings(rule_version).toDF("__blob", "__spans")
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    return rest.join(found, "__blob", "left").withColumn("spans", F.coalesce("spans", none)).drop("__blob")
+    return docs.withColumn("__blob", blob(F.col("text"))).join(found, "__blob", "left").withColumn("__spans", F.coalesce("__spans", none)).drop("__blob")
 
 
 def _equals(kind: str):
@@ -135,6 +139,6 @@ def redacted(docs: DataFrame, ledger: Ledger | None = None) -> DataFrame:
 
     cut = F.pandas_udf(run, "string")
     found = F.size("__spans") > 0
-    out = scan(docs, ledger).withColumnRenamed("spans", "__spans")
+    out = _found(docs, ledger)
     out = out.withColumn("text", F.when(found, cut(F.when(found, F.col("text").cast("string")), F.col("__spans"))).otherwise(F.col("text")))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
