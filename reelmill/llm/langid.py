@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import arrow_rows
+from ._store import arrow_rows, most_frequent, settled
 from ._text import mix
 
 ORDER = 5
@@ -167,13 +167,12 @@ def train(docs: DataFrame, order: int = ORDER, grams: int = GRAMS, languages: in
     top = [r.lang for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
     counted = own.where(F.col("lang").isin(top)).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     out = {}
-    counted = counted.persist()
+    counted = settled(counted, "gram-counts")
     for lang in top:  # at most `languages` small jobs over the counts
-        rows = counted.where(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(grams).select("gram", "n").toArrow()
+        rows = settled(most_frequent(counted.where(F.col("lang") == lang), "gram", grams).select("gram", "n"), "grams").toArrow()
         if rows.num_rows:
             text = "".join(rows["gram"].to_pylist()).encode("utf-32-le", "surrogatepass")
             out[lang] = Model(np.frombuffer(text, "<u4").reshape(-1, order), rows["n"].to_numpy())
-    counted.unpersist()
     return out
 
 
@@ -204,7 +203,8 @@ def calibrate(docs: DataFrame, models: dict[str, Model], sample: int = CALIBRATE
 
     The sample is the `sample` documents of the smallest hashes, so it is the same every time.
     """
-    rows = docs.where(F.col("lang").isin(list(models)) & F.col("text").isNotNull()).select("text", "lang", F.xxhash64("text").alias("h")).orderBy("h", "lang").limit(sample).collect()
+    own = docs.where(F.col("lang").isin(list(models)) & F.col("text").isNotNull()).select("text", "lang", F.xxhash64("text").alias("h"))
+    rows = settled(own.orderBy("h", "lang").limit(sample), "calibration").collect()
     ent, n = entropies([r.text for r in rows], models)
     out = {}
     for j, lang in enumerate(models):
