@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bpe import encoder, vocabulary
-from ._store import arrow_rows
+from ._store import arrow_rows, most_frequent, settled
 
 #: Words compiled, the most frequent first: this bounds the automaton to a few MB, whatever the corpus.
 LEXICON_WORDS = 50_000
@@ -169,7 +169,7 @@ def words_counted(docs: DataFrame, path: str) -> DataFrame:
 
 def compiled(docs: DataFrame, path: str, size: int = LEXICON_WORDS) -> bytes:
     """The transducer of the `size` most frequent words of docs, ties by word."""
-    top = words_counted(docs, path).orderBy(F.desc("n"), "word").limit(size).select("word").collect()
+    top = settled(most_frequent(settled(words_counted(docs, path), "word-counts"), "word", size).select("word"), "lexicon").collect()
     enc = encoder(path)
     return Transducer.compile({r.word.encode(): enc.library(r.word) for r in top})
 
