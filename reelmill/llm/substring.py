@@ -29,7 +29,7 @@ WINDOW = 13
 #: A null doc_id sorts after all others; two such rows don't remove words from each other.
 LAST = (1 << 63) - 1
 #: Entries that a task gathers before it hands a chunk on.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 
 
 def _salt(n: int) -> np.uint64:
