@@ -86,10 +86,15 @@ def three_windows(df: DataFrame, key: str, length: int, width: int = WIDTH) -> D
     return at.withColumn("window", F.explode(F.array_compact(F.array(*inside)))).drop("__i")
 
 
-def within_budget(df: DataFrame, order: list, cost: str, budget: float) -> DataFrame:
-    """The leading rows by `order` whose running cost stays within the budget; costs aren't negative, so the first overflow ends it.
+def within_budget(df: DataFrame, cost: str, ident: str, budget: float, width: float) -> DataFrame:
+    """The rows of least cost, ties by `ident`, whose running cost stays within the budget, with that cost as running.
 
-    Rows that cost more than the budget by themselves can't be among them and go first, before the one window.
+    Costs aren't negative, so the first overflow ends it. Ranges of cost (of `width`) are summed first; those that begin beyond the
+    budget go before any row is ordered, and the rest are finished range by range.
     """
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.where(F.col(cost) <= budget).withColumn("running", F.sum(cost).over(w)).where(F.col("running") <= budget)
+    cut = df.where(F.col(cost) <= budget).withColumn("__range", F.floor(F.col(cost) / width))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut.groupBy("__range").agg(F.sum(cost).alias("__n")).select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inside = F.sum(cost).over(Window.partitionBy("__range").orderBy(cost, ident).rowsBetween(Window.unboundedPreceding, 0))
+    out = cut.join(starts.where(F.col("__start") <= budget), "__range").withColumn("running", F.col("__start") + inside)
+    return out.where(F.col("running") <= budget).drop("__range", "__start")

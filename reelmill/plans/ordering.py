@@ -140,7 +140,7 @@ def lexi_argmin(t):
 
 @query("""WITH r AS (SELECT doc_id, n_chars, CAST(sum(n_chars) OVER (ORDER BY n_chars, doc_id) AS BIGINT) AS running FROM documents) SELECT doc_id, n_chars, running FROM r WHERE running <= 60000""")
 def budget_prefix(t):
-    return ordered.within_budget(t.documents.select("doc_id", "n_chars"), ["n_chars", "doc_id"], "n_chars", 60000)
+    return ordered.within_budget(t.documents.select("doc_id", "n_chars"), "n_chars", "doc_id", 60000, 256)
 
 
 @query("""WITH s AS (SELECT event_id, greatest(0.0, least(1.0, (value / 10 - 0.75) / 11.25)) AS m, greatest(0.0, least(1.0, (value / 5 - 4.0) / 24.0)) AS d, event_type = 'error' AS cut FROM events),

@@ -184,3 +184,10 @@ def test_medians(spark):
 @pytest.mark.parametrize("build", [lambda d: A.metric_bundle(d, ["k"], "v"), lambda d: A.nearest_rank(d, ["k"], "v", [50]), lambda d: ordered.gaps(d.select(F.col("k").cast("long").alias("k")), "k"), lambda d: A.codec_summary(d, ["k"], {"v": "m"}, {"v": "h"})])
 def test_empty_tables(spark, build):
     assert build(spark.createDataFrame([], "k int, v double")).count() == 0
+
+
+@pytest.mark.parametrize("width", [1, 3, 1000])
+def test_budget_prefix_stops_at_the_first_overflow(spark, width):
+    rows = [(i, c) for i, c in enumerate([5, 0, 3, 3, 9, 1, 40, 0, 7])]
+    out = ordered.within_budget(spark.createDataFrame(rows, "i long, c long").repartition(3), "c", "i", 13, width)
+    assert values(out, "i", "c", "running") == [(0, 5, 12), (1, 0, 0), (2, 3, 4), (3, 3, 7), (5, 1, 1), (7, 0, 0)]
