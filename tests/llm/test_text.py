@@ -217,6 +217,20 @@ def test_bands_reject_both_ends(spark):
     assert out == {1: (False, False), 2: (False, False)}
 
 
+def test_default_bands_decide(spark):
+    import random
+
+    rng = random.Random(1)
+    noise = {name: " ".join("".join(rng.choice(a) for _ in range(rng.randint(3, 9))) for _ in range(2400))[:16384] for name, a in (("hex", "0123456789abcdef"), ("letters", "abcdefghijklmnopqrstuvwxyz"), ("digits", "0123456789"))}
+    made = [*noise.values(), noise["digits"][:200], " ".join(f"The The Fit {i}" for i in range(40)), " ".join(f"The The Fit {i}" for i in range(400))]
+    out = quality.judge(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")).collect()
+    assert not any(r.kept or r.base_failed for r in out)
+    at = "/root/testdata/sf0.01"
+    judged = quality.judge(spark.read.parquet(f"{at}/documents.parquet")).where("not base_failed").join(spark.read.parquet(f"{at}/labels.parquet"), "doc_id")
+    share = {r.quality: r.kept for r in judged.groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("kept")).collect()}
+    assert share[1] > 0.99 and share[0] < 0.4
+
+
 # Languages
 
 
