@@ -2,27 +2,35 @@
 
 A model per language: character n-grams to order ORDER over lower-case letters, anything else one space. Highest-order counts
 come from all training documents; lower orders use continuation counts. Each order is kept as a sorted array of n-gram hashes with
-interpolated log-probabilities, and one of context hashes with log back-off weights. A text belongs to the language of the lowest
+interpolated log-probabilities, and one of context hashes with log back-off weights. Every language and every n-gram is kept: all that
+an n-gram's score looks up from order 3 on holds the two characters before its last, so the models are cut into shards by those two,
+which are files in the shared folder; orders 1 and 2 are a file for all shards. A text belongs to the language of the lowest
 cross-entropy a character; it is rejected if that exceeds the language's calibrated limit.
 """
 
 from __future__ import annotations
 
+import pickle
+import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import arrow_rows, most_frequent, settled
+from ._store import arrow_rows, new_path, settled
 from ._text import mix
 
 ORDER = 5
-#: Distinct highest-order n-grams of a language that its model keeps, the most frequent first, and languages learned, the most
-#: frequent first: together they bound the models to tens of MB, whatever the corpus.
-GRAMS, LANGUAGES = 150_000, 64
+#: Highest-order n-grams that a shard of the models holds about, shards at least, n-grams of shards that a worker keeps loaded.
+SHARD, SHARDS, HELD = 200_000, 8, 4_000_000
+#: Distinct n-grams that a counting task holds before it hands them on, and languages scored at once.
+COUNTED, SCORED = 600_000, 32
 #: Training documents that calibrate rejection, and the share of a language's own documents that may be rejected.
 CALIBRATED, REJECTED = 2000, 0.001
 UNKNOWN = "und"
@@ -90,22 +98,22 @@ class Grams:
 
 
 class Model:
-    """Sorted hash arrays of one language."""
+    """Sorted hash arrays of one language, or of its n-grams in one shard: then `low` is the model of orders 1 and 2, and `cuts` are
+    the discounts of the higher orders over all shards."""
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray):
-        order = grams.shape[1]
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, cuts: dict[int, float] | None = None, low: Model | None = None):
+        order, least = grams.shape[1], low.order if low else 0
         levels = {order: (grams, counts.astype(float))}
-        for k in range(order - 1, 0, -1):  # continuation counts: distinct longer n-grams that end so
+        for k in range(order - 1, least, -1):  # continuation counts: distinct longer n-grams that end so
             longer = levels[k + 1][0][:, 1:]
             _, first, n = np.unique(hashes(longer), return_index=True, return_counts=True)
             levels[k] = (longer[first], n.astype(float))
         self.order, self.probs, self.backs = order, {}, {}
-        self.unseen = 1.0 / (len(levels[1][0]) + 1)
-        lower_key, lower_p = None, None
-        for k in range(1, order + 1):
+        self.unseen = low.unseen if low else 1.0 / (len(levels[1][0]) + 1)
+        lower_key, lower_p = (low.probs[least][0], np.exp(low.probs[least][1].astype(float))) if low else (None, None)
+        for k in range(least + 1, order + 1):
             g, c = levels[k]
-            once, twice = (c == 1).sum(), (c == 2).sum()
-            cut = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
+            cut = cuts[k] if cuts else discount((c == 1).sum(), (c == 2).sum())
             ctx_key, at = np.unique(hashes(g[:, :-1]), return_inverse=True)
             total = np.bincount(at, c)
             weight = cut * np.bincount(at) / total
@@ -117,11 +125,17 @@ class Model:
             self.probs[k] = (lower_key, np.log(lower_p).astype(np.float32))
             self.backs[k] = (ctx_key, np.log(weight).astype(np.float32))
 
+    def over(self, low: Model) -> Model:
+        """This model with the orders of `low`."""
+        out = object.__new__(Model)
+        out.order, out.unseen, out.probs, out.backs = self.order, low.unseen, low.probs | self.probs, low.backs | self.backs
+        return out
+
     def score(self, grams: np.ndarray) -> np.ndarray:
         """Log-probability of the last code point of each row, given those before it."""
         out, todo = np.zeros(len(grams)), np.arange(len(grams))
-        for k in range(self.order, 0, -1):
-            rest = grams[todo, self.order - k :]
+        for k in sorted(self.probs, reverse=True):
+            rest = grams[todo, grams.shape[1] - k :]
             hit, p = _lookup(*self.probs[k], hashes(rest))
             _, back = _lookup(*self.backs[k], hashes(rest[:, :-1]))
             out[todo] += np.where(hit, p, back)
@@ -130,18 +144,79 @@ class Model:
         return out
 
 
+def discount(once: int, twice: int) -> float:
+    return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
+
+
 def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
     hit = keys[at] == wanted
     return hit, np.where(hit, values[at], 0.0)
 
 
+def _pair(grams: np.ndarray) -> np.ndarray:
+    """What deals n-grams out to shards: the hash of the two code points before the last."""
+    return hashes(grams[:, -3:-1]).view(np.int64)
+
+
+@dataclass(frozen=True)
+class Models:
+    """Where the shards of all languages' models are: the languages, those with more training rows first, and n-grams by shard."""
+
+    folder: str
+    order: int
+    names: tuple[str, ...]
+    shards: int
+    held: dict[int, int]
+
+    def shard(self, at: int) -> dict[str, Model]:
+        """The models of one shard by language; a language without n-grams there has its low orders only."""
+        low = _load(self.folder, "low", 0)
+        own = _load(self.folder, str(at), self.held[at]) if at in self.held else {}
+        return {lang: own[lang].over(m) if lang in own else m for lang, m in low.items()}
+
+
+_loaded: OrderedDict[tuple[str, str], tuple[int, dict]] = OrderedDict()
+
+
+def _load(folder: str, name: str, size: int) -> dict[str, Model]:
+    """A file of models; the worker keeps those last used, of HELD n-grams together."""
+    from pyarrow import fs
+
+    key = (folder, name)
+    if key not in _loaded:
+        for old in [k for k in _loaded if k[0] != folder]:
+            del _loaded[old]
+        where, at = fs.FileSystem.from_uri(f"{folder}/{name}")
+        with where.open_input_stream(at) as f:
+            _loaded[key] = (size, pickle.loads(f.read()))
+        while sum(n for n, _ in _loaded.values()) > HELD and (old := next((k for k in _loaded if k != key and k[1] != "low"), None)):
+            del _loaded[old]
+    _loaded.move_to_end(key)
+    return _loaded[key][1]
+
+
+def _save(folder: str, name: str, models: dict[str, Model]) -> None:
+    from pyarrow import fs
+
+    where, root = fs.FileSystem.from_uri(folder)
+    where.create_dir(root, recursive=True)
+    tmp = f"{root}/.{name}-{uuid.uuid4().hex}"
+    with where.open_output_stream(tmp) as f:
+        f.write(pickle.dumps(models))
+    where.move(tmp, f"{root}/{name}")
+
+
+def _rows(text: pa.ChunkedArray, order: int) -> np.ndarray:
+    return np.frombuffer("".join(text.to_pylist()).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, order)
+
+
 def _plain(docs: DataFrame, *more) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
-def train(docs: DataFrame, order: int = ORDER, grams: int = GRAMS, languages: int = LANGUAGES) -> dict[str, Model]:
-    """A model for each lang of docs (text, lang), of all rows where neither is null."""
+def train(docs: DataFrame, order: int = ORDER, shard: int = SHARD) -> Models | None:
+    """A model for each lang of docs (text, lang), of all rows where neither is null, of order 3 at least; None without letters."""
     arrow_rows(docs.sparkSession, size=2 << 20)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +225,7 @@ def train(docs: DataFrame, order: int = ORDER, grams: int = GRAMS, languages: in
         def out() -> Iterator[pa.RecordBatch]:
             for lang, g in seen.items():
                 text = [r.tobytes().decode("utf-32-le", "surrogatepass") for r in g.text.astype("<u4")]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(text), pa.string()), pa.array(text, pa.string()), pa.array(g.n)], names=["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(text), pa.string()), pa.array(text, pa.string()), pa.array(_pair(g.text)), pa.array(g.n)], names=["lang", "gram", "pair", "n"])
             seen.clear()
 
         for batch in batches:
@@ -159,29 +234,49 @@ def train(docs: DataFrame, order: int = ORDER, grams: int = GRAMS, languages: in
                 texts.setdefault(lang, []).append(clean(text, order))
             for lang, own in texts.items():
                 seen.setdefault(lang, Grams(order)).add(own)
-            if sum(len(g.key) for g in seen.values()) > 4 * GRAMS:
+            if sum(len(g.key) for g in seen.values()) > COUNTED:
                 yield from out()
         yield from out()
 
     own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    top = [r.lang for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    counted = own.where(F.col("lang").isin(top)).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    out = {}
+    own = own.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    counted = own.mapInArrow(run, "lang string, gram string, pair long, n long").groupBy("lang", "gram", "pair").agg(F.sum("n").alias("n"))
     counted = settled(counted, "gram-counts")
-    for lang in top:  # at most `languages` small jobs over the counts
-        rows = settled(most_frequent(counted.where(F.col("lang") == lang), "gram", grams).select("gram", "n"), "grams").toArrow()
-        if rows.num_rows:
-            text = "".join(rows["gram"].to_pylist()).encode("utf-32-le", "surrogatepass")
-            out[lang] = Model(np.frombuffer(text, "<u4").reshape(-1, order), rows["n"].to_numpy())
-    return out
-
-
-def entropies(texts: list, models: dict[str, Model]) -> tuple[np.ndarray, np.ndarray]:
-    """Cross-entropy a character of each text under each model, in the models' order, and the number of characters."""
-    order = next(iter(models.values())).order if models else ORDER
+    level, cuts = counted, {}
+    for k in range(order, 2, -1):  # counts of counts: a row a language
+        for r in level.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).collect():
+            cuts.setdefault(r.lang, {})[k] = discount(r.once, r.twice)
+        level = level.groupBy("lang", F.substring("gram", 2, k - 1).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+    pairs = level.toArrow()
+    low = {lang: Model(_rows(part["gram"], 2), part["n"].to_numpy()) for lang in cuts for part in [pairs.filter(pa.compute.equal(pairs["lang"], lang))]}
+    if not low:
+        return None
+    folder = new_path(docs.sparkSession, "models")
+    _save(folder, "low", low)
+    shards = max(SHARDS, -(-counted.count() // shard))
+
+    def build(part: pa.Table) -> pa.Table:
+        low, made = _load(folder, "low", 0), {}
+        for lang in sorted(set(part["lang"].to_pylist())):
+            rows = part.filter(pa.compute.equal(part["lang"], lang))
+            made[lang] = Model(_rows(rows["gram"], order), rows["n"].to_numpy(), cuts[lang], low[lang])
+        at = part["shard"][0].as_py()
+        _save(folder, str(at), made)
+        return pa.table({"shard": pa.array([at], pa.int64()), "n": pa.array([part.num_rows], pa.int64())})
+
+    dealt = counted.withColumn("shard", F.pmod("pair", F.lit(shards)).cast("long")).select("shard", "lang", "gram", "n")
+    held = {r.shard: r.n for r in dealt.groupBy("shard").applyInArrow(build, "shard long, n long").collect()}
+    names = [r.lang for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect() if r.lang in low]
+    return Models(folder, order, tuple(names), shards, held)
+
+
+def entropies(texts: list, models: Models | None, names: list[str] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Cross-entropy a character of each text under each model, in the models' order or that of `names`, and the number of characters."""
+    order = models.order if models else ORDER
+    names = names or (models.names if models else [])
     cps = [clean(t or "", order) for t in texts]
     sizes = np.array([max(0, len(c) - order + 1) for c in cps], np.int64)
-    out = np.zeros((len(texts), len(models)))
+    out = np.zeros((len(texts), len(names)))
     if models and sizes.sum():
         cp = np.concatenate([c for c in cps if len(c)])
         starts = np.cumsum([0, *(len(c) for c in cps if len(c))])[:-1]
@@ -192,28 +287,38 @@ def entropies(texts: list, models: dict[str, Model]) -> tuple[np.ndarray, np.nda
         where[codes] = place
         grams = cp[where[:, None] + np.arange(order)]
         ends = np.cumsum(sizes)
-        for j, m in enumerate(models.values()):
-            total = np.concatenate([[0.0], np.cumsum(m.score(grams)[codes])])
-            out[:, j] = -(total[ends] - total[ends - sizes]) / np.maximum(sizes, 1)
+        shard = _pair(grams) % models.shards
+        by = np.argsort(shard, kind="stable")
+        bounds = np.searchsorted(shard[by], np.arange(models.shards + 1))
+        for first in range(0, len(names), SCORED):
+            part = names[first : first + SCORED]
+            scores = np.zeros((len(part), len(grams)))
+            for s in np.flatnonzero(np.diff(bounds)).tolist():
+                at, own = by[bounds[s] : bounds[s + 1]], models.shard(s)
+                for j, lang in enumerate(part):
+                    scores[j, at] = own[lang].score(grams[at])
+            for j in range(len(part)):
+                total = np.concatenate([[0.0], np.cumsum(scores[j][codes])])
+                out[:, first + j] = -(total[ends] - total[ends - sizes]) / np.maximum(sizes, 1)
     return out, sizes
 
 
-def calibrate(docs: DataFrame, models: dict[str, Model], sample: int = CALIBRATED, rejected: float = REJECTED) -> dict[str, float]:
+def calibrate(docs: DataFrame, models: Models | None, sample: int = CALIBRATED, rejected: float = REJECTED) -> dict[str, float]:
     """Each language's limit: the cross-entropy that all but a share `rejected` of its own sampled documents stay under, and a tenth.
 
     The sample is the `sample` documents of the smallest hashes, so it is the same every time.
     """
-    own = docs.where(F.col("lang").isin(list(models)) & F.col("text").isNotNull()).select("text", "lang", F.xxhash64("text").alias("h"))
+    own = docs.where(F.col("lang").isin(list(models.names if models else ())) & F.col("text").isNotNull()).select("text", "lang", F.xxhash64("text").alias("h"))
     rows = settled(own.orderBy("h", "lang").limit(sample), "calibration").collect()
     ent, n = entropies([r.text for r in rows], models)
     out = {}
-    for j, lang in enumerate(models):
+    for j, lang in enumerate(models.names if models else ()):
         own = [e for e, r, k in zip(ent[:, j], rows, n, strict=True) if r.lang == lang and k]
         out[lang] = 1.1 * float(np.quantile(own, 1 - rejected)) if own else float("inf")
     return out
 
 
-def identify(docs: DataFrame, models: dict[str, Model], limits: dict[str, float] | None = None) -> DataFrame:
+def identify(docs: DataFrame, models: Models | None, limits: dict[str, float] | None = None) -> DataFrame:
     """doc_id, lang_pred, score, entropy, rejected, a row for each row of docs (doc_id, text).
 
     Null text, text without a letter, or no model: `und`, score 0. Null doc_id: kept. Ties: the language with more training rows.
@@ -226,7 +331,7 @@ def identify(docs: DataFrame, models: dict[str, Model], limits: dict[str, float]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models, limits = box.value
-        names = [*models]
+        names = [*models.names] if models else []
         for batch in batches:
             ent, n = entropies(batch.column(1).to_pylist(), models)
             if names:

@@ -277,6 +277,23 @@ def test_probabilities_sum_to_one():
         assert 0.8 < p <= 1.0001
 
 
+def test_every_language_and_n_gram_is_kept(spark, monkeypatch):
+    monkeypatch.setattr(langid, "HELD", 1000)  # fewer than two shards
+    rng = np.random.default_rng(3)
+    texts = [(f"l{i:02}", " ".join("".join(chr(0x4E00 + 40 * i + c) for c in rng.integers(0, 30, 8)) for _ in range(6))) for i in range(70) for _ in range(2)]
+    models = langid.train(spark.createDataFrame(texts, "lang string, text string"), shard=500)
+    assert len(models.names) == 70 and models.shards > langid.SHARDS
+    got, _ = langid.entropies([t for _, t in texts], models)
+    assert [models.names[j] for j in got.argmin(1)] == [lang for lang, _ in texts]
+    for lang in ("l00", "l69"):  # as one model over all counts
+        g = langid.Grams(langid.ORDER)
+        g.add([langid.clean(t) for own, t in texts if own == lang])
+        grams = np.concatenate([np.lib.stride_tricks.sliding_window_view(langid.clean(t), langid.ORDER) for _, t in texts[::35]])
+        whole = langid.Model(g.text, g.n).score(grams)
+        shard = langid._pair(grams) % models.shards
+        assert np.allclose([models.shard(int(s))[lang].score(x[None])[0] for s, x in zip(shard, grams, strict=True)], whole, atol=1e-5)
+
+
 # Vectors
 
 
