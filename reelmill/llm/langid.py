@@ -31,8 +31,8 @@ ORDER = 5
 SHARD, SHARDS, HELD = 200_000, 8, 4_000_000
 #: Distinct n-grams that a counting task holds before it hands them on, and languages scored at once.
 COUNTED, SCORED = 600_000, 32
-#: Training documents that calibrate rejection, and the share of a language's own documents that may be rejected.
-CALIBRATED, REJECTED = 2000, 0.001
+#: Share of a language's own texts that may be rejected, and the width of a class of cross-entropies.
+REJECTED, WIDTH = 0.001, 0.001
 UNKNOWN = "und"
 _FACTORS = np.random.default_rng(77).integers(0, 1 << 62, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -303,18 +303,36 @@ def entropies(texts: list, models: Models | None, names: list[str] | None = None
     return out, sizes
 
 
-def calibrate(docs: DataFrame, models: Models | None, sample: int = CALIBRATED, rejected: float = REJECTED) -> dict[str, float]:
-    """Each language's limit: the cross-entropy that all but a share `rejected` of its own sampled documents stay under, and a tenth.
+def calibrate(docs: DataFrame, models: Models | None, rejected: float = REJECTED) -> dict[str, float]:
+    """Each language's limit: the cross-entropy that all but a share `rejected` of its own distinct texts stay under, and a tenth.
 
-    The sample is the `sample` documents of the smallest hashes, so it is the same every time.
+    Every training text is scored under its own language. The share is taken over classes of WIDTH, whose upper bound is the limit.
+    The texts are those that were counted, and the tenth stands for what that takes off their cross-entropy.
     """
-    own = docs.where(F.col("lang").isin(list(models.names if models else ())) & F.col("text").isNotNull()).select("text", "lang", F.xxhash64("text").alias("h"))
-    rows = settled(own.orderBy("h", "lang").limit(sample), "calibration").collect()
-    ent, n = entropies([r.text for r in rows], models)
+    if not models:
+        return {}
+    arrow_rows(docs.sparkSession, size=2 << 20)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, langs = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), object)
+            out, known = np.zeros(len(texts)), np.zeros(len(texts), bool)
+            for lang in set(langs.tolist()) & set(models.names):
+                at = np.flatnonzero(langs == lang)
+                ent, n = entropies([texts[i] for i in at], models, [lang])
+                out[at], known[at] = ent[:, 0], n > 0
+            step = pa.array(np.ceil(out / WIDTH).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), step], names=["lang", "h", "step"]).filter(pa.array(known))
+
+    own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    scored = own.withColumn("h", F.xxhash64("text")).mapInArrow(run, "lang string, h long, step long")
+    steps: dict[str, list] = {}
+    for r in scored.groupBy("lang", "h").agg(F.max("step").alias("step")).groupBy("lang", "step").count().orderBy("lang", "step").collect():
+        steps.setdefault(r.lang, []).append((r.step, r["count"]))
     out = {}
-    for j, lang in enumerate(models.names if models else ()):
-        own = [e for e, r, k in zip(ent[:, j], rows, n, strict=True) if r.lang == lang and k]
-        out[lang] = 1.1 * float(np.quantile(own, 1 - rejected)) if own else float("inf")
+    for lang, own in steps.items():
+        n = np.cumsum([c for _, c in own])
+        out[lang] = 1.1 * WIDTH * own[int(np.searchsorted(n, (1 - rejected) * n[-1]))][0]
     return out
 
 

@@ -294,6 +294,21 @@ def test_every_language_and_n_gram_is_kept(spark, monkeypatch):
         assert np.allclose([models.shard(int(s))[lang].score(x[None])[0] for s, x in zip(shard, grams, strict=True)], whole, atol=1e-5)
 
 
+def test_limits_cover_every_language_and_distinct_text(spark):
+    common = [(text, lang) for _, text, lang in languages(2400)]
+    copies = [common[0]] * 3000
+    rare = [(" ".join("".join("tuvwxyz"[c] for c in np.random.default_rng(i).integers(0, 7, 5)) for _ in range(12)), "rare") for i in range(4)]
+    df = spark.createDataFrame(common + rare, "text string, lang string")
+    models = langid.train(df)
+    limits = langid.calibrate(df, models)
+    assert limits.keys() == set(models.names) and all(np.isfinite(v) for v in limits.values())
+    assert limits == langid.calibrate(df.unionByName(spark.createDataFrame(copies, df.schema)), models)
+    ent, _ = langid.entropies([t for t, _ in common + rare], models)
+    for lang, limit in limits.items():
+        own = [e for e, (_, l) in zip(ent[:, models.names.index(lang)], common + rare, strict=True) if l == lang]
+        assert limit == pytest.approx(1.1 * np.quantile(own, 0.999, method="inverted_cdf"), abs=0.002)
+
+
 # Vectors
 
 
