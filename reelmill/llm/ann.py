@@ -132,7 +132,7 @@ def search(df: DataFrame, every: int = 100, k: int = K, recall: float = RECALL,
 
     df: vec_id, embedding; other columns are ignored. Rows without an id, and vectors null, zero, holding null or non-finite
     components or of an odd length, take no part. Fewer than k candidates: all of them. Ties: the smaller vec_id. Repeated rows are
-    candidates each, but never of a query with their id. Empty table: no rows. The tree is fitted on the `sample` rows of
+    candidates each, but never of a query with their id. A query id has one query, the least of its vectors in array order. Empty table: no rows. The tree is fitted on the `sample` rows of
     the smallest hashes; every row is indexed, and no leaf visited is cut short.
     """
     spark = df.sparkSession
@@ -158,7 +158,8 @@ def search(df: DataFrame, every: int = 100, k: int = K, recall: float = RECALL,
     for r in placed.groupBy("leaf").count().collect():
         held[r.leaf] = r["count"]
     splits = np.maximum(1, -(-held // BLOCK))
-    queries = placed.where(F.col("vec_id") % every == 0)
+    queries = placed.where(F.col("vec_id") % every == 0).groupBy("vec_id", "leaf").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("n"))
+    queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"), F.map_from_entries(F.collect_list(F.struct("leaf", "n"))).alias("own"))
     visits = _calibrated(queries, placed, tree, k, recall)
     facts = spark.sparkContext.broadcast((tree, held, splits))
 
@@ -166,14 +167,14 @@ def search(df: DataFrame, every: int = 100, k: int = K, recall: float = RECALL,
         tree, held, splits = facts.value
         for batch in batches:
             leaf, block, at = [], [], []
-            for i, v in enumerate(batch.column(1).to_pylist()):
+            for i, (v, mine) in enumerate(zip(batch.column(1).to_pylist(), map(dict, batch.column(2).to_pylist()), strict=True)):
                 seen = met = 0
                 for l in tree.visits(np.array(v)):
                     for b in range(int(splits[l])):
                         leaf.append(l)
                         block.append(b)
                         at.append(i)
-                    seen, met = seen + 1, met + int(held[l])
+                    seen, met = seen + 1, met + int(held[l]) - mine.get(l, 0)  # rows of other ids
                     if seen >= visits and met > 2 * k:
                         break
             own = batch.take(pa.array(at, pa.int64()))
@@ -182,7 +183,7 @@ def search(df: DataFrame, every: int = 100, k: int = K, recall: float = RECALL,
     count = F.element_at(F.lit(splits.tolist()).cast("array<int>"), F.col("leaf") + 1)
     block = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), count).cast("int")
     stored = placed.select("leaf", block.alias("block"), F.lit(0).alias("kind"), "vec_id", "v")
-    asked = queries.select("vec_id", "v").mapInArrow(route, _ROW)
+    asked = queries.select("vec_id", "v", "own").mapInArrow(route, _ROW)
     parts = max(int(splits.sum()) // 8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     met = stored.unionByName(asked).repartition(parts, "leaf", "block").sortWithinPartitions("leaf", "block", "kind", "vec_id")
 

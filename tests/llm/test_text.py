@@ -355,6 +355,18 @@ def test_search_edge_cases(spark):
     assert out == [(0, 1, 100, 0.5), (0, 2, 6, 1.0), (0, 3, 6, 1.0), (100, 1, 0, 0.5), (100, 2, 6, pytest.approx(1.118033988749895)), (100, 3, 6, pytest.approx(1.118033988749895))]
 
 
+def test_repeated_queries_find_ten_rows(spark):
+    x = vectors().astype(float)
+    x[800] = 60.0
+    table = [(i, v.tolist()) for i, v in enumerate(x)] + [(100, x[100].tolist())] * 2 + [(800, x[800].tolist())] * 60 + [(900, (x[900] + 900).tolist())]
+    got = defaultdict(list)
+    for r in ann.search(spark.createDataFrame(table, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    for q in (100, 800, 900):  # other ids stand once each near them
+        assert len({a for a, _ in got[q]}) == 10
+        assert all(s == pytest.approx(float(np.sqrt(((x[a] - x[q]) ** 2).sum()))) for a, s in got[q])
+
+
 # Repeated passages
 
 
