@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import new_path, settled, ship
 
-__all__ = ["arrow_rows", "most_frequent", "narrow", "new_path", "settled", "spread"]
+__all__ = ["arrow_rows", "fresh", "most_frequent", "narrow", "new_path", "settled", "spread"]
 
 #: Bytes of input that one task of a packed exchange stands for.
 TASK_BYTES = 128 << 20
@@ -17,6 +17,15 @@ BROADCAST_ROWS = 500_000
 BROADCAST_ROW_BYTES = 64
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """A name for a column of an operator's own that no column of its input has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    name = f"__{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def narrow(df: DataFrame, keys: DataFrame, row_bytes: int) -> DataFrame:
     """keys, marked for broadcast if their counted rows and the stated width of a row stay within the bound."""
     return F.broadcast(keys) if row_bytes <= BROADCAST_ROW_BYTES and keys.count() <= BROADCAST_ROWS else keys

@@ -147,7 +147,7 @@ class Transducer:
 
 
 def words_counted(docs: DataFrame, path: str) -> DataFrame:
-    """word, n over all plain texts of docs."""
+    """word, n over all texts of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, seen = encoder(path), Counter()
@@ -159,7 +159,7 @@ def words_counted(docs: DataFrame, path: str) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                seen.update((text and enc.pieces(text)) or ())
+                seen.update(enc.pieces(text or ""))
                 if len(seen) > COUNTED:
                     yield out()
         yield out()
@@ -171,7 +171,7 @@ def compiled(docs: DataFrame, path: str, size: int = LEXICON_WORDS) -> bytes:
     """The transducer of the `size` most frequent words of docs, ties by word."""
     top = settled(most_frequent(settled(words_counted(docs, path), "word-counts"), "word", size).select("word"), "lexicon").collect()
     enc = encoder(path)
-    return Transducer.compile({r.word.encode(): enc.library(r.word) for r in top})
+    return Transducer.compile({r.word.encode(): np.frombuffer(enc.words[r.word], "<u4").tolist() for r in top})
 
 
 @lru_cache(2)
@@ -199,33 +199,25 @@ class _Box:
 def encode_batch(texts: list, enc, lexicon: Transducer) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts, concatenated, and the number of ids before each text (one more at the end)."""
     words: list[str] = []
-    ends, whole = [0], {}
-    for i, text in enumerate(texts):
-        pieces = enc.pieces(text) if text else []
-        if pieces is None:
-            whole[i] = enc.library(text)
-            pieces = [None]  # stands for the whole text
-        words += pieces
+    ends = [0]
+    for text in texts:
+        words += enc.pieces(text or "")
         ends.append(len(words))
     coded = pa.array(words, pa.string()).dictionary_encode()
     codes, distinct = coded.indices, coded.dictionary
     ranks = lexicon.ranks(distinct)
     extra, at = [], len(lexicon.ids)
-    begin, size = np.zeros(len(distinct) + 1, np.int64), np.zeros(len(distinct) + 1, np.int64)
+    begin, size = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
     known = np.flatnonzero(ranks >= 0)
     begin[known] = lexicon.starts[ranks[known]]
     size[known] = lexicon.starts[ranks[known] + 1] - begin[known]
     for k in np.flatnonzero(ranks < 0).tolist():
-        ids = enc._words[distinct[k].as_py()]
+        ids = enc.words[distinct[k].as_py()]
         extra.append(ids)
         begin[k], size[k] = at, len(ids) // 4
         at += len(ids) // 4
-    rows = codes.fill_null(len(distinct)).to_numpy(zero_copy_only=False).astype(np.int64)
+    rows = codes.to_numpy().astype(np.int64)
     begins, sizes = begin[rows], size[rows]
-    for i, ids in whole.items():
-        extra.append(np.array(ids, "<u4").tobytes())
-        begins[ends[i]], sizes[ends[i]] = at, len(ids)
-        at += len(ids)
     pool = np.concatenate([lexicon.ids, np.frombuffer(b"".join(extra), "<u4")])
     until = np.concatenate([[0], np.cumsum(sizes)])
     ids = pool[np.arange(until[-1]) + np.repeat(begins - until[:-1], sizes)]

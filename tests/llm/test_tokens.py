@@ -64,15 +64,41 @@ def test_edited_trees_count_as_recounted():
         end, new = start + rng.choice([0, 0, 1, 2, 40]), rng.choice(["", " ", "  ", "x", "'s", "'", "n't  ", "\n\n", " word", "123", "-- !!", "é", " a b c d " * 30, "日", "<|endoftext|>"][: 13 if rng.random() < 0.97 else 15])
         want = tree.text[:start] + new + tree.text[end:]
         tree.edit(start, end, new)
-        assert (tree.text, tree.count, sum(tree.leaves()[0])) == (want, len(enc.library(want)), len(want))
+        assert (tree.text, tree.count, sum(c for c, _ in tree.leaves())) == (want, len(enc.library(want)), len(want))
 
 
-def test_an_edit_re_encodes_little():
+@pytest.mark.parametrize("words", ["some plain words here ", "日本 текст with ½ and <|endoftext|> 😀 "])
+def test_an_edit_cuts_and_encodes_little(words):
     enc = Encoder(vocabulary("byte_bpe_50k.json"))
-    tree = tokencount.Tree(enc, "some plain words here " * 5000)
-    tree.encoded = 0
+    text = words * 5000
+    built = tokencount.Tree(enc, text)
+    assert built.cut == built.encoded == len(text)
+    tree = tokencount.Tree(enc, text, (built.chars, built.tokens))  # as stored
     tree.edit(50_000, 50_004, "other")
-    assert tree.encoded < 500
+    assert 0 < tree.cut < 600 and 0 < tree.encoded < 600
+    assert tree.count == len(enc.library(text[:50_000] + "other" + text[50_004:]))
+
+
+def test_a_grown_leaf_is_split_without_cutting_the_rest():
+    enc = Encoder(vocabulary("byte_bpe_50k.json"))
+    tree = tokencount.Tree(enc, "some plain words here " * 5000)
+    done = tree.cut
+    tree.edit(50_000, 50_000, " more words" * 400)
+    assert tree.cut - done < 6000 and tree.count == len(enc.library(tree.text))
+    assert max(c for c, _ in tree.leaves()) < 200
+
+
+def test_trees_need_whole_pre_tokens():
+    with pytest.raises(ValueError):
+        tokencount.Tree(Encoder(vocabulary("word_bpe_49k.json")), "a b")
+
+
+def test_ids_of_odd_characters_equal_the_library(enc):
+    rng = random.Random(5)
+    parts = ["a", "B", " ", "  ", "\n", "'s", "'", "日", "e\u0301", "é", "İ", "ſ", "ẞ", "J\u030c", "\u0345", "Σ", "ﬁ", "½", "\u200d", "😀", "\xa0", "\u3000", "\x85", "и\u0306", "<|endoftext|>", "<|startoftext|>", "<|", "한", "ᄒ", "ᅡ", "Ω", "K", "ǅ", "!", "1", "\t"]
+    for _ in range(3000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        assert np.frombuffer(enc.ids(t), "<u4").tolist() == enc.library(t), ascii(t)
 
 
 @pytest.mark.parametrize("table", ["docs", "odd", "empty"])
