@@ -330,12 +330,14 @@ def plain_neighbours(table, k=10):
     return out
 
 
-@pytest.mark.parametrize("block", [4096, 64])
-def test_search_recall(spark, monkeypatch, block):
-    monkeypatch.setattr(ann, "BLOCK", block)
+@pytest.mark.parametrize("sizes", [{}, {"BLOCK": 16, "ASKED": 2, "SPLIT": 40, "LEAF": 20, "LEAST": 4}])
+def test_search_recall(spark, monkeypatch, sizes):
+    for name, size in sizes.items():
+        monkeypatch.setattr(ann, name, size)
     table = [(i, v.tolist()) for i, v in enumerate(vectors())]
     got = defaultdict(list)
-    for r in ann.search(spark.createDataFrame(table, "vec_id long, embedding array<float>")).orderBy("query_id", "rank").collect():
+    sample = 200 if sizes else ann.SAMPLE  # then trees are fitted on two levels and more
+    for r in ann.search(spark.createDataFrame(table, "vec_id long, embedding array<float>"), sample=sample).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
         assert r["rank"] == len(got[r.query_id])
     want = plain_neighbours(table)
@@ -367,6 +369,48 @@ def test_repeated_queries_find_ten_rows(spark):
         assert all(s == pytest.approx(float(np.sqrt(((x[a] - x[q]) ** 2).sum()))) for a, s in got[q])
 
 
+def test_leaves_stay_bounded(spark, monkeypatch):
+    for name, size in {"SPLIT": 60, "LEAF": 20, "LEAST": 4}.items():
+        monkeypatch.setattr(ann, name, size)
+    made = []
+    met = ann._met
+    monkeypatch.setattr(ann, "_met", lambda rows, pool, k: made.append((rows, pool)) or met(rows, pool, k))
+    for n in (1000, 4000):
+        rng = np.random.default_rng(n)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(n, 6)))], "vec_id long, embedding array<double>")
+        assert ann.search(df, sample=150).count() == 10 * n // 100
+    for rows, pool in made:
+        assert rows.groupBy("leaf").count().agg(F.max("count")).first()[0] <= 60
+        assert pool.groupBy("vec_id").count().agg(F.max("count")).first()[0] < 60
+    assert max(leaf.count("/") for leaf in (r.leaf for r in made[1][0].select("leaf").distinct().collect())) > 1
+
+
+def test_equal_vectors_keep_what_any_query_can_find(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(200)] * 2 + [(300, [1.0, 2.0])] * 30
+    out = ann._few(spark.createDataFrame(rows, "vec_id long, v array<double>"), 10).collect()
+    assert sorted(r.vec_id for r in out) == [i for i in range(10) for _ in range(2)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect()
+    assert {q: [r.vec_id for r in got if r.query_id == q] for q in (0, 100, 300)} == {0: [1, 1, 2, 2, 3, 3, 4, 4, 5, 5], 100: [0, 0, 1, 1, 2, 2, 3, 3, 4, 4], 300: [0, 0, 1, 1, 2, 2, 3, 3, 4, 4]}
+
+
+def test_each_length_is_a_space_of_its_own(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(1, 30)] + [(100, [3.0, 1.0]), (200, [1.0, 1.0, 1.0]), (201, [1.0, 1.0, 2.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert [(r.vec_id, r.score) for r in got if r.query_id == 200] == [(201, 1.0)]
+    assert sum(r.query_id == 100 for r in got) == 10
+
+
+def test_queries_among_rows_of_their_own_id_meet_all_rows(spark, monkeypatch):
+    for name, size in {"SPLIT": 40, "LEAF": 20, "LEAST": 4}.items():
+        monkeypatch.setattr(ann, name, size)
+    rng = np.random.default_rng(2)
+    rows = [(100, (50 + rng.normal(size=4)).tolist()) for _ in range(200)] + [(i + 1, rng.normal(size=4).tolist()) for i in range(50)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), sample=100).collect()
+    q = np.array(min(v for i, v in rows if i == 100))
+    want = sorted((float(np.sqrt(((np.array(v) - q) ** 2).sum())), i) for i, v in rows if i != 100)[:10]
+    assert [(r.vec_id, pytest.approx(r.score)) for r in sorted(got, key=lambda r: r["rank"])] == [(i, d) for d, i in want]
+
+
 # Repeated passages
 
 
