@@ -83,3 +83,11 @@ def windows(hashes: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     for j in range(size):
         out += hashes[j : j + n] * factors[j]
     return mix(out)
+
+
+def spans(hashes: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Fingerprint of each stretch [low, high) of symbols."""
+    up, down = _powers(max(_SEGMENT, len(hashes)))
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(mix(hashes) * up[: len(hashes)], out=total[1:])
+    return mix((total[high] - total[low]) * down[low] + (high - low).astype(np.uint64))

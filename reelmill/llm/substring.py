@@ -1,14 +1,16 @@
 """Substring dedup by recompression.
 
-Words are the first symbols. Each round renames every document's symbols alike: a pair of neighbours, left one from the left half of
-the alphabet and right one from the right half, gets one name made from both; a run round names runs of exactly two. Names and
-halves come from hashes, so they are global without a dictionary, and equal stretches get equal names inside, away from their
-ends. Two pair rounds fit a window of 13 words: a symbol then covers at most 4 words and its bounds depend on at most 3 words
-to either side, so every window holds a symbol, its anchor, that any equal window holds at the same place.
-
-A window can repeat only if its anchor occurs in another document. One exchange of anchors finds those; a second compares the
-128-bit fingerprints of the windows so marked. Both exchanges carry packed arrays, a key once a chunk of documents, so a passage that a
-third of all documents share costs each chunk one entry.
+Words are the first symbols. Each round renames every document's symbols alike: a run round gives each maximal run one name made from
+the symbol and its length, a pair round gives one name to a pair of neighbours, left one from the left half of the alphabet and
+right one from the right half. Names and halves come from hashes, so they are global without a dictionary, and equal stretches get
+equal names inside, away from their ends. With each symbol goes the stretch of words that fixes it; every window of words that holds
+such a stretch holds the symbol, wherever it stands. The least of these is the window's anchor; a window that holds none, as
+inside a long run, is its own.
+
+A window can repeat only if another text holds its anchor. One exchange of anchors finds those; a second compares the 128-bit
+fingerprints of the windows so marked. Of copies of a text only the first takes part: the others lose every window. Both exchanges
+carry packed arrays, and a key once for each chunk of documents: what a chunk settles by itself goes straight to the documents'
+buckets. So a passage that a third of all documents share costs its key's bucket an entry a chunk.
 """
 
 from __future__ import annotations
@@ -19,248 +21,242 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import arrow_rows, narrow, settled, spread
-from ._text import Words, mix, windows
+from ._store import arrow_rows, fresh, narrow, settled, spread
+from ._text import Words, mix, spans, windows
 
 WINDOW = 13
-#: A null doc_id sorts after all others; two such rows don't remove words from each other.
-LAST = (1 << 63) - 1
+#: Rounds of recompression.
+PLAN = ("run", "pair", "pair")
 #: Entries that a task gathers before it hands a chunk on.
 CHUNK = 1_000_000
+#: Beyond any word of a document: a stretch that reaches so far lies in no window.
+_FAR = 1 << 40
 
 
 def _salt(n: int) -> np.uint64:
     return np.uint64(n * 0xA24BAED4963EE407 % (1 << 64))
 
 
-def rounds(window: int) -> list[str]:
-    """The rounds whose symbols fit the window: after k rounds a symbol covers at most 2**k words and looks 2**k - 1 to either
-    side, so 4 * 2**k - 3 <= window. Pairs shorten most; from the third round on, runs are named first."""
-    k = 0
-    while 4 * 2 ** (k + 1) - 3 <= window:
-        k += 1
-    return (["run"] if k > 2 else []) + ["pair"] * (k - (k > 2))
-
-
-def recompress(names: np.ndarray, begins: np.ndarray, plan: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols after the rounds and the first word of each. begins: the first word of each symbol now; documents are kept
-    apart by the caller."""
+def recompress(words: np.ndarray, plan: tuple[str, ...] = PLAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of one document after the rounds, and of each the words [low, high) that fix its name and its bounds."""
+    names, low, high = words, np.arange(len(words)), np.arange(1, len(words) + 1)
     for level, kind in enumerate(plan):
-        if len(names) < 2:
+        if not len(names):
             break
-        if kind == "pair":
-            right = (mix(names + _salt(level + 1)) & np.uint64(1)).astype(bool)
-            joins = np.flatnonzero(~right[:-1] & right[1:])
+        if kind == "run":
+            first = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
+            last = np.append(first[1:], len(names))
+            size = last - first
+            one = names[first]
+            names = np.where(size > 1, mix(mix(one + _salt(200 + level)) + size.astype(np.uint64)), one)
+            # a run is fixed by the symbols that end it
+            low, high = np.append(-_FAR, low)[first], np.append(high, _FAR)[last]
         else:
-            same = names[1:] == names[:-1]
-            alone = same.copy()
-            alone[1:] &= ~same[:-1]
-            alone[:-1] &= ~same[1:]
-            joins = np.flatnonzero(alone)
-        names = names.copy()
-        names[joins] = mix(mix(names[joins]) * np.uint64(3) + names[joins + 1] + _salt(100 + 2 * level + (kind == "run")))
-        keep = np.ones(len(names), bool)
-        keep[joins + 1] = False
-        names, begins = names[keep], begins[keep]
-    return names, begins
-
-
-def anchors(words: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """The key of each window's anchor: of the symbols whose bounds the window fixes, that of the smallest name. The key names
-    the symbol and the words to either side that fix its bounds, all of them inside the window."""
+            right = (mix(names + _salt(level + 1)) & np.uint64(1)).astype(bool)
+            joins = np.zeros(len(names), bool)
+            joins[:-1] = ~right[:-1] & right[1:]
+            after = np.append(False, joins[:-1])
+            made = mix(mix(names) * np.uint64(3) + np.append(names[1:], np.uint64(0)) + _salt(100 + level))
+            # one of a pair, or alone on the left, is fixed by its next; alone on the right by the one before
+            names = np.where(joins, made, names)
+            low, high = np.where(right, np.append(-_FAR, low[:-1]), low), np.where(right, high, np.append(high[1:], _FAR))
+            names, low, high = names[~after], low[~after], high[~after]
+    return names, low, high
+
+
+def anchors(words: np.ndarray, window: int = WINDOW, plan: tuple[str, ...] = PLAN) -> np.ndarray:
+    """The key of each window's anchor: the least of the hashes of the symbols that the window fixes, of the whole window if none."""
     n = len(words) - window + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    plan = rounds(window)
-    side = 2 ** len(plan) - 1
-    names, begins = recompress(words, np.arange(len(words)), plan)
-    size = np.diff(np.append(begins, len(words)))
-    ends = begins + size
+    names, low, high = recompress(words, plan)
+    known = (low >= 0) & (high <= len(words)) & (high - low <= window)
+    names, low, high = names[known], low[known], high[known]
+    key = mix(spans(words, low, high) + mix(names))
     best = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-    key = np.zeros(n, np.uint64)
-    rank, around = mix(names ^ _salt(50)), windows(words, side, 3)
-    full = names * np.uint64(5)
-    inside = np.flatnonzero((begins >= side) & (ends + side <= len(words)))
-    full[inside] = mix(full[inside] + around[begins[inside] - side] * np.uint64(3) + around[ends[inside]])
-    at = np.full(len(words) + 1, -1)
-    at[begins] = np.arange(len(begins))
-    inner = window - 2 * side
-    for d in range(inner):  # window i may use a symbol that begins at i + side + d and ends by i + side + inner
-        k = at[side + d : side + d + n]
-        ok = k >= 0
-        ok[ok] = size[k[ok]] <= inner - d
-        better = np.flatnonzero(ok)
-        better = better[rank[k[better]] < best[better]]
-        best[better], key[better] = rank[k[better]], full[k[better]]
-    return key
+    room = window - (high - low)
+    for back in range(int(room.max()) + 1 if len(room) else 0):
+        at = low - back
+        ok = (room >= back) & (at >= 0) & (at < n)
+        np.minimum.at(best, at[ok], key[ok])
+    none = best == np.iinfo(np.uint64).max
+    if none.any():
+        best[none] = windows(words, window, 4)[none]
+    return best
 
 
 def _named(docs: DataFrame) -> DataFrame:
-    """did (LAST for null), th (a hash of the text) and text: rows that agree in did and th fare alike."""
+    """did, th (a 128-bit hash of the text) and text: rows that agree in did and th fare alike."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("did"), _hash(text).alias("th"), text.alias("text"))
 
 
-class _Chunk:
-    """Entries (key, document, position) of the documents a task has read since it last handed a chunk on."""
+def _hash(text):
+    return F.unhex(F.md5(text.cast("binary")))
 
-    def __init__(self):
-        self.docs: list = []
-        self.keys: list[np.ndarray] = []
-        self.owner: list[np.ndarray] = []
-        self.place: list[np.ndarray] = []
-        self.size = 0
 
-    def add(self, doc, keys: np.ndarray, place: np.ndarray | None = None) -> None:
-        self.keys.append(keys)
-        if place is not None:
-            self.place.append(place)
-        self.owner.append(np.full(len(keys), len(self.docs), np.int32))
-        self.docs.append(doc)
-        self.size += len(keys)
+#: What a document is called in packed arrays: did, whether did is null, both halves of th.
+_DOC = ("<i8", "u1", "<u8", "<u8")
+_ROWS = "answer boolean, bucket int, n long, data binary"
+_NAMES = ["answer", "bucket", "n", "data"]
 
 
-_SENT = "bucket int, key binary, did binary, th binary, place binary, mark binary"
+def _names(docs: list[tuple]) -> list[np.ndarray]:
+    half = np.frombuffer(b"".join(th for _, th in docs), "<u8").reshape(-1, 2)
+    return [np.array([d or 0 for d, _ in docs], np.int64), np.array([d is None for d, _ in docs], np.uint8), half[:, 0], half[:, 1]]
 
 
-def _send(key: np.ndarray, did: np.ndarray, th: np.ndarray, place: np.ndarray, mark: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """A row for each bucket: the key's first 64 bits choose it. mark: 1 asks for an answer, 2 is itself one, 0 only tells.
-    Entries stay in the documents' order, so that what names a document compresses well."""
-    first = key[:, 0]
-    bucket = (mix(first) % np.uint64(buckets)).astype(np.int32)
+def _packed(answer: bool, bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """A row for each bucket with its part of the columns, one after the other; entries stay in order, which compresses well."""
+    if not len(bucket):
+        return
     by = np.argsort(bucket, kind="stable")
     cut = np.flatnonzero(np.diff(bucket[by], prepend=-1))
     ends = np.append(cut[1:], len(by))
-    pack = lambda x: [x[by[a:b]].tobytes() for a, b in zip(cut.tolist(), ends.tolist(), strict=True)]
-    cols = [pa.array(bucket[by[cut]])] + [pa.array(pack(x), pa.binary()) for x in (key, did, th, place, mark)]
-    return pa.RecordBatch.from_arrays(cols, names=["bucket", "key", "did", "th", "place", "mark"])
+    columns = [c[by] for c in columns]
+    data = [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(cut.tolist(), ends.tolist(), strict=True)]
+    yield pa.RecordBatch.from_arrays([pa.array([answer] * len(cut)), pa.array(bucket[by[cut]].astype(np.int32)), pa.array(ends - cut), pa.array(data, pa.binary())], names=_NAMES)
+
+
+def _unpacked(rows: list[tuple[int, bytes]], kinds: tuple[str, ...]) -> list[np.ndarray]:
+    out: list[list] = [[] for _ in kinds]
+    for n, data in rows:
+        at = 0
+        for column, kind in zip(out, kinds, strict=True):
+            column.append(np.frombuffer(data, kind, n, at))
+            at += n * np.dtype(kind).itemsize
+    return [np.concatenate(c) if c else np.zeros(0, k) for c, k in zip(out, kinds, strict=True)]
+
 
+def _key_bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(key) % np.uint64(buckets)).astype(np.int32)
 
-def _received(batches: Iterator[pa.RecordBatch], width: int) -> tuple[np.ndarray, ...] | None:
-    parts: list[list[bytes]] = [[], [], [], [], []]
-    for batch in batches:
-        for out, col in zip(parts, batch.columns[1:], strict=True):
-            out += col.to_pylist()
-    if not parts[0]:
-        return None
-    key, did, th, place, mark = (b"".join(p) for p in parts)
-    return np.frombuffer(key, "<u8").reshape(-1, width), np.frombuffer(did, "<i8"), np.frombuffer(th, "<i8"), np.frombuffer(place, "<i4"), np.frombuffer(mark, "u1")
 
+def _doc_bucket(doc: list[np.ndarray], buckets: int) -> np.ndarray:
+    return (mix(doc[2] + _salt(7)) % np.uint64(buckets)).astype(np.int32)
 
-def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def _groups(*key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order that brings equal keys together, and the number of each row's group in that order."""
-    by = np.lexsort(key.T[::-1])
+    by = np.lexsort(key)
     new = np.ones(len(by), bool)
-    new[1:] = (key[by[1:]] != key[by[:-1]]).any(1)
+    new[1:] = np.any([k[by[1:]] != k[by[:-1]] for k in key], 0)
     return by, np.cumsum(new) - 1
 
 
-_ANSWER = "bucket int, did binary, th binary, value binary"
-
-
-def _answers(did: np.ndarray | None, th: np.ndarray, value: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """A row for each bucket of documents: did, th and value of its answers, packed. The row count doesn't depend on documents."""
-    if not len(th):
-        return
-    did = np.zeros(len(th), np.int64) if did is None else did
-    bucket = (mix(th.view(np.uint64) + _salt(7)) % np.uint64(buckets)).astype(np.int32)
-    by = np.lexsort((did, th, bucket))
-    cut = np.flatnonzero(np.diff(bucket[by], prepend=-1))
-    ends = np.append(cut[1:], len(by))
-    pack = lambda x: pa.array([x[by[a:b]].tobytes() for a, b in zip(cut.tolist(), ends.tolist(), strict=True)], pa.binary())
-    yield pa.RecordBatch.from_arrays([pa.array(bucket[by[cut]]), pack(did), pack(th), pack(value)], names=["bucket", "did", "th", "value"])
+def _late(by: np.ndarray, group: np.ndarray, did: np.ndarray, none: np.ndarray) -> np.ndarray:
+    """Which entries, in the order `by`, stand in a later document than another of their group; a null did is later than any."""
+    did, none = did[by], none[by].astype(bool)
+    least = np.full(group[-1] + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, group[~none], did[~none])
+    numbered = np.zeros(group[-1] + 1, bool)
+    numbered[group[~none]] = True
+    return np.where(none, numbered[group], did > least[group])
 
 
-def _joined(answers: DataFrame, kind: str, buckets: int) -> DataFrame:
-    """did, th, value: a row for each document with its answers, as many as its words at most."""
+def _exchanged(sent: DataFrame, answer, kinds: tuple[str, ...], buckets: int, value: str) -> DataFrame:
+    """did, th, value: of each document the packed values of its answers. answer(*columns) gives (document, values) for the entries of a
+    bucket; rows that are answers already pass through. A bucket of documents holds no more than their texts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[list[bytes]] = [[], [], []]
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = []
         for batch in batches:
-            for out, col in zip(parts, batch.columns[1:], strict=True):
-                out += col.to_pylist()
-        did, th, value = (np.frombuffer(b"".join(p), k) for p, k in zip(parts, ("<i8", "<i8", kind), strict=True))
-        if not len(th):
+            there = batch.column(0)
+            yield batch.filter(there)
+            own = batch.filter(pa.compute.invert(there))
+            asked += zip(own.column(2).to_pylist(), own.column(3).to_pylist(), strict=True)
+        if asked:
+            doc, found = answer(*_unpacked(asked, kinds))
+            yield from _packed(True, _doc_bucket(doc, buckets), [*doc, found])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+        *doc, found = _unpacked(rows, (*_DOC, value))
+        if not len(found):
             return
-        by = np.lexsort((did, th))
-        did, th, value = did[by], th[by], value[by]
-        cut = np.flatnonzero(np.append(True, (did[1:] != did[:-1]) | (th[1:] != th[:-1])))
-        ends = np.append(cut[1:], len(did))
+        by, group = _groups(*doc)
+        cut = np.flatnonzero(np.diff(group, prepend=-1))
+        ends, found = np.append(cut[1:], len(by)), found[by]
+        did, none, a, b = (d[by[cut]] for d in doc)
+        th = np.column_stack([a, b]).astype("<u8")
         for i in range(0, len(cut), 4096):
-            packed = [value[a:b].tobytes() for a, b in zip(cut[i : i + 4096].tolist(), ends[i : i + 4096].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(did[cut[i : i + 4096]]), pa.array(th[cut[i : i + 4096]]), pa.array(packed, pa.binary())], names=["did", "th", "value"])
+            part = slice(i, i + 4096)
+            packed = [found[x:y].tobytes() for x, y in zip(cut[part].tolist(), ends[part].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(did[part], mask=none[part].astype(bool)), pa.array([t.tobytes() for t in th[part]], pa.binary()), pa.array(packed, pa.binary())], names=["did", "th", "value"])
 
-    return answers.repartition(buckets, "bucket").mapInArrow(run, "did long, th long, value binary")
+    answers = sent.repartition(buckets, "bucket").mapInArrow(settle, _ROWS)
+    return answers.repartition(buckets, "bucket").mapInArrow(gather, "did long, th binary, value binary")
 
 
-def shared_anchors(named: DataFrame, window: int, buckets: int) -> DataFrame:
-    """th, value: the anchors (packed 64-bit names) of a text that other documents hold too; copies count as others."""
+def shared_anchors(texts: DataFrame, window: int, buckets: int) -> DataFrame:
+    """did, th, value: the anchors (packed 64-bit keys) of a text that other texts hold too."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = _Chunk()
-
-        def out() -> pa.RecordBatch:
-            key, owner = np.concatenate(chunk.keys), np.concatenate(chunk.owner)
-            by, group = _groups(key[:, None])
-            # what several documents of the chunk hold needs no answer from others; the first of each also tells others
-            local = np.bincount(group)[group] > 1
-            tell = by[local & np.append(True, group[1:] != group[:-1])]
-            mark = np.empty(len(key), "u1")
-            mark[by] = np.where(local, 2, 1)
-            rows = np.concatenate([np.arange(len(key)), tell])
-            mark = np.concatenate([mark, np.zeros(len(tell), "u1")])
-            none = np.zeros(len(rows), "V0")
-            return _send(key[rows][:, None], none, np.array(chunk.docs, np.int64)[owner[rows]], none, mark, buckets)
+        docs: dict[tuple, int] = {}
+        keys, owner, size = [], [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            key, who, names = np.concatenate(keys), np.concatenate(owner), _names(list(docs))
+            by, group = _groups(key)
+            # what several texts of the chunk hold needs no answer from others; the first of each still tells others
+            local = np.empty(len(key), bool)
+            local[by] = (np.bincount(group) > 1)[group]
+            first = np.zeros(len(key), bool)
+            first[by[np.diff(group, prepend=-1) > 0]] = True
+            there = [n[who[local]] for n in names]
+            yield from _packed(True, _doc_bucket(there, buckets), [*there, key[local]])
+            at = np.flatnonzero(first)
+            yield from _packed(False, _key_bucket(key[at], buckets), [key[at], local[at].astype(np.uint8), *(n[who[at]] for n in names)])
 
         for batch in batches:
             words = Words(batch.column(2))
-            for i, th in enumerate(batch.column(1).to_pylist()):
+            for i, doc in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 own = np.unique(anchors(words.of(i), window))
-                if len(own):
-                    chunk.add(th, own)
-            if chunk.size > CHUNK:
-                yield out()
-                chunk.__init__()
-        if chunk.size:
-            yield out()
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = _received(batches, 1)
-        if got is None:
-            return
-        key, _, th, _, mark = got
-        there = mark == 2
-        yield from _answers(None, th[there], key[there, 0], buckets)
-        key, th, mark = key[~there], th[~there], mark[~there]
-        if not len(key):
-            return
+                if len(own) and doc not in docs:  # a repeated row is no other text
+                    keys.append(own)
+                    owner.append(np.full(len(own), len(docs), np.int32))
+                    docs[doc] = len(docs)
+                    size += len(own)
+            if size > CHUNK:
+                yield from out()
+                docs, keys, owner, size = {}, [], [], 0
+        if size:
+            yield from out()
+
+    def answer(key, several, *doc):
+        """Keys that several texts hold: a chunk says so, or two entries name different texts."""
         by, group = _groups(key)
-        ask = by[(np.bincount(group)[group] > 1) & (mark[by] == 1)]
-        yield from _answers(None, th[ask], key[ask, 0], buckets)
+        starts = np.flatnonzero(np.diff(group, prepend=-1))
+        other = np.logical_or.reduceat(several[by].astype(bool), starts)
+        for half in doc[2:]:
+            other |= np.minimum.reduceat(half[by], starts) != np.maximum.reduceat(half[by], starts)
+        ask = by[other[group] & (several[by] == 0)]
+        return [d[ask] for d in doc], key[ask]
 
-    told = named.select("did", "th", "text").mapInArrow(send, _SENT).repartition(buckets, "bucket").mapInArrow(answer, _ANSWER)
-    return _joined(told, "<u8", buckets).drop("did")
+    return _exchanged(texts.select("did", "th", "text").mapInArrow(send, _ROWS), answer, ("<u8", "u1", *_DOC), buckets, "<u8")
 
 
-def repeated_windows(named: DataFrame, marked: DataFrame, window: int, buckets: int) -> DataFrame:
+def repeated_windows(texts: DataFrame, marked: DataFrame, window: int, buckets: int) -> DataFrame:
     """did, th, value: the first words (packed 32-bit) of a document's windows that a document with a smaller did holds too."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = _Chunk()
-
-        def out() -> pa.RecordBatch:
-            key, owner, place = np.concatenate(chunk.keys), np.concatenate(chunk.owner), np.concatenate(chunk.place)
-            docs = np.array(chunk.docs, np.int64).reshape(-1, 2)
-            by, group = _groups(key)
-            did = docs[owner, 0]
-            least = np.full(group[-1] + 1, LAST)
-            np.minimum.at(least, group, did[by])
-            mark = np.empty(len(key), "u1")
-            mark[by] = np.where(did[by] > least[group], 2, 1)
-            return _send(key, did, docs[owner, 1], place.astype("<i4"), mark, buckets)
+        docs: list[tuple] = []
+        keys, owner, place, size = [], [], [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            key, who, at, names = np.concatenate(keys), np.concatenate(owner), np.concatenate(place), _names(docs)
+            doc = [n[who] for n in names]
+            by, group = _groups(key[:, 0], key[:, 1])
+            late = np.empty(len(key), bool)
+            late[by] = _late(by, group, doc[0], doc[1])
+            there = [d[late] for d in doc]
+            yield from _packed(True, _doc_bucket(there, buckets), [*there, at[late]])
+            asks = [d[~late] for d in doc]
+            yield from _packed(False, _key_bucket(key[~late, 0], buckets), [key[~late, 0], key[~late, 1], at[~late], *asks])
 
         for batch in batches:
             words = Words(batch.column(2))
@@ -268,62 +264,65 @@ def repeated_windows(named: DataFrame, marked: DataFrame, window: int, buckets:
                 own = words.of(i)
                 known = np.unique(np.frombuffer(value, "<u8"))
                 a = anchors(own, window)
-                at = np.flatnonzero(known[np.minimum(np.searchsorted(known, a), len(known) - 1)] == a) if len(known) else np.zeros(0, np.int64)
+                at = np.flatnonzero(known[np.minimum(np.searchsorted(known, a), len(known) - 1)] == a)
                 if len(at):
-                    chunk.add((did, th), np.column_stack([windows(own, window, 1)[at], windows(own, window, 2)[at]]), at)
-            if chunk.size > CHUNK // 4:
-                yield out()
-                chunk.__init__()
-        if chunk.size:
-            yield out()
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = _received(batches, 2)
-        if got is None:
-            return
-        key, did, th, place, mark = got
-        there = mark == 2
-        yield from _answers(did[there], th[there], place[there], buckets)
-        key, did, th, place = key[~there], did[~there], th[~there], place[~there]
-        if not len(key):
-            return
-        by, group = _groups(key)
-        least = np.full(group[-1] + 1, LAST)
-        np.minimum.at(least, group, did[by])
-        late = by[did[by] > least[group]]
-        yield from _answers(did[late], th[late], place[late], buckets)
-
-    text = named.join(narrow(named, marked.select("th"), 16), "th", "left_semi")  # where few texts are marked, only those are shuffled
-    with_marks = text.join(marked, "th").select("did", "th", "text", "value")
-    told = with_marks.mapInArrow(send, _SENT).repartition(buckets, "bucket").mapInArrow(answer, _ANSWER)
-    return _joined(told, "<i4", buckets)
-
-
-def covered(n_words: int, value: bytes | None, window: int) -> np.ndarray:
-    """Which words the windows that begin at the packed places cover."""
+                    keys.append(np.column_stack([windows(own, window, 1)[at], windows(own, window, 2)[at]]))
+                    owner.append(np.full(len(at), len(docs), np.int32))
+                    place.append(at.astype("<i4"))
+                    docs.append((did, th))
+                    size += len(at)
+            if size > CHUNK // 4:
+                yield from out()
+                docs, keys, owner, place, size = [], [], [], [], 0
+        if size:
+            yield from out()
+
+    def answer(left, right, place, *doc):
+        by, group = _groups(left, right)
+        late = by[_late(by, group, doc[0], doc[1])]
+        return [d[late] for d in doc], place[late]
+
+    same = F.col("did").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))
+    found = marked.select(F.col("did").alias("d"), F.col("th").alias("t"), "value")
+    text = texts.join(narrow(texts, found.select("d", "t"), 24), same, "left_semi")  # where few texts are marked, only those are shuffled
+    with_marks = text.join(found, same).select("did", "th", "text", "value")
+    return _exchanged(with_marks.mapInArrow(send, _ROWS), answer, ("<u8", "<u8", "<i4", *_DOC), buckets, "<i4")
+
+
+def covered(n_words: int, value: bytes | None, whole: bool, window: int) -> np.ndarray:
+    """Which words are covered: by all windows, or by those that begin at the packed places."""
     change = np.zeros(n_words + 1, np.int64)
-    if value:
-        at = np.unique(np.frombuffer(value, "<i4"))
+    if whole and n_words >= window:
+        change[0] = 1
+    elif value:
+        at = np.frombuffer(value, "<i4")
         np.add.at(change, at, 1)
         np.add.at(change, at + window, -1)
     return np.cumsum(change[:-1]) > 0
 
 
 def marks(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """did, th, value of each document with repeated windows; settled."""
-    spark = docs.sparkSession
-    arrow_rows(spark)
-    named = _named(docs)
-    buckets = spread(docs)
-    marked = settled(shared_anchors(named, window, buckets), "anchors")
-    return settled(repeated_windows(named, marked, window, buckets), "repeats")
-
-
-def _with_marks(docs: DataFrame, window: int) -> DataFrame:
-    found = marks(docs, window).select(F.col("did").alias("__did"), F.col("th").alias("__th"), F.col("value").alias("__value"))
+    """did, th, value, whole of each row with repeated windows, settled: whole if a smaller did has the same text, else their places."""
+    arrow_rows(docs.sparkSession)
+    named, buckets = _named(docs), spread(docs)
+    keys = settled(named.select("did", "th"), "texts")
+    many = settled(keys.groupBy("th").agg(F.count(F.lit(1)).alias("n"), F.min("did").alias("first")).where("n > 1").select("th", "first"), "copied")
+    later = keys.join(narrow(keys, many, 24), "th").where(~F.col("did").eqNullSafe(F.col("first"))).select("did", "th").distinct()
+    later = settled(later, "copies")
+    gone = later.select(F.col("did").alias("d"), F.col("th").alias("t"))
+    texts = named.join(narrow(named, gone, 24), F.col("did").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left_anti")
+    marked = settled(shared_anchors(texts, window, buckets), "anchors")
+    found = repeated_windows(texts, marked, window, buckets).withColumn("whole", F.lit(False))
+    return settled(found.unionByName(later.select("did", "th", F.lit(None).cast("binary").alias("value"), F.lit(True).alias("whole"))), "repeats")
+
+
+def _with_marks(docs: DataFrame, window: int) -> tuple[DataFrame, str, str]:
+    """docs with two columns, value and whole, and their names."""
+    did, th, value, whole = (fresh(docs.columns, n) for n in ("did", "th", "value", "whole"))
+    found = marks(docs, window).toDF(did, th, value, whole)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    on = (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col("__did")) & (F.xxhash64(text) == F.col("__th"))
-    return docs.join(found, on, "left").drop("__did", "__th")
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col(did)) & (_hash(text) == F.col(th))
+    return docs.join(found, on, "left").drop(did, th).withColumn(whole, F.coalesce(whole, F.lit(False))), value, whole
 
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -337,36 +336,37 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, gone, kept = [], [], []
-            for text, value in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, value, whole in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 own = (text or b"").split()  # bytes are split at just the blanks that part words
-                if value:
-                    out = covered(len(own), value, window)
-                    gone.append(int(out.sum()))
+                left = own
+                if value or whole:
+                    out = covered(len(own), value, whole, window)
                     left = [w for w, o in zip(own, out.tolist(), strict=True) if not o]
-                else:
-                    gone.append(0)
-                    left = own
+                gone.append(len(own) - len(left))
                 n.append(len(own))
                 kept.append(b" ".join(left))
             cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array([k.decode() for k in kept], pa.string())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     arrow_rows(docs.sparkSession)
-    rows = _with_marks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), window)
-    return rows.select("doc_id", "text", "__value").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    rows, value, whole = _with_marks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), window)
+    return rows.select("doc_id", "text", value, whole).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with repeated words cut from text; text of documents without any is left byte for byte, other columns as they are."""
+    """docs with repeated words cut from text; text of documents without any is left byte for byte, other columns as they are.
+
+    Nulls, ties, repeated rows, empty tables and long texts as in dedup(); null text stays null. Columns may have any names.
+    """
 
-    def run(texts: pd.Series, values: pd.Series) -> pd.Series:
+    def run(texts: pd.Series, values: pd.Series, wholes: pd.Series) -> pd.Series:
         words = Words(pa.array(texts, pa.string()))
         out = []
-        for i, (t, v) in enumerate(zip(texts, values, strict=True)):
-            if t is None or not v:
+        for i, (t, v, whole) in enumerate(zip(texts, values, wholes, strict=True)):
+            if t is None or not (v or whole):
                 out.append(t)
                 continue
-            gone = covered(words.before[i + 1] - words.before[i], v, window)
+            gone = covered(words.before[i + 1] - words.before[i], v, whole, window)
             raw, base = t.encode(), words.offsets[i]
             parts, at = [], 0
             for k in np.flatnonzero(gone).tolist():  # a word goes with the blanks after it
@@ -378,4 +378,7 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     arrow_rows(docs.sparkSession)
     cut = F.pandas_udf(run, "string")
-    return _with_marks(docs, window).withColumn("text", F.when(F.col("__value").isNull(), F.col("text")).otherwise(cut(F.when(F.col("__value").isNotNull(), F.col("text").cast("string")), F.col("__value")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, value, whole = _with_marks(docs, window)
+    hit = F.col(value).isNotNull() | F.col(whole)
+    text = F.when(hit, cut(F.when(hit, F.col("text").cast("string")), F.col(value), F.col(whole))).otherwise(F.col("text"))
+    return rows.withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -417,7 +417,7 @@ def test_queries_among_rows_of_their_own_id_meet_all_rows(spark, monkeypatch):
 def plain_dedup(table, window=13):
     """table: (doc_id or None, text), any order -> (n_words, n_removed, kept words) of each row."""
     words = [WORD.findall(t or "") for _, t in table]
-    key = [d if d is not None else substring.LAST for d, _ in table]
+    key = [(d is None, d or 0) for d, _ in table]
     first = {}
     for d, w in zip(key, words, strict=True):
         for i in range(len(w) - window + 1):
@@ -455,16 +455,53 @@ def test_removal_keeps_other_texts_byte_for_byte(docs):
         assert WORD.findall(out[d]) == kept and (gone or out[d] == t)
 
 
-def test_every_window_has_an_anchor_made_of_its_words():
+@pytest.mark.parametrize("plan", [("pair",), ("run", "pair"), substring.PLAN, ("run", "pair", "run", "pair", "pair")])
+def test_equal_windows_have_equal_anchors(plan):
     rng = np.random.default_rng(9)
-    for window, plan in ((5, ["pair"]), (13, ["pair", "pair"]), (29, ["run", "pair", "pair"]), (61, ["run", "pair", "pair", "pair"])):
-        assert substring.rounds(window) == plan
+    for window in (5, 13, 30):
         words = np.repeat(rng.integers(0, 1 << 62, 60, dtype=np.uint64), rng.integers(1, 4, 60))
-        a = substring.anchors(words, window)
-        assert len(a) == len(words) - window + 1 and (a != 0).all()
-        for i in range(0, len(a), 7):  # the same window between other words
-            around = rng.integers(0, 1 << 62, 40, dtype=np.uint64)
-            assert substring.anchors(np.concatenate([around[:20], words[i : i + window], around[20:]]), window)[20] == a[i]
+        words[40:70] = words[40]
+        a = substring.anchors(words, window, plan)
+        assert len(a) == len(words) - window + 1
+        for i in range(0, len(a), 3):  # the same window between other words
+            around = rng.choice(np.append(rng.integers(0, 1 << 62, 10, dtype=np.uint64), [words[i], words[i + window - 1]]), 40)
+            assert substring.anchors(np.concatenate([around[:20], words[i : i + window], around[20:]]), window, plan)[20] == a[i]
+
+
+def test_symbols_carry_most_anchors():
+    rng = np.random.default_rng(4)
+    words = rng.integers(0, 1 << 62, 20_000, dtype=np.uint64)
+    a = substring.anchors(words)
+    own = substring.windows(words, substring.WINDOW, 4)
+    assert (a == own).mean() < 0.05 and len(np.unique(a)) < 0.4 * len(a)
+
+
+def test_copies_cost_no_more_than_one_text(spark):
+    """Thousands of copies, and thousands of texts around one passage: what is settled for a document stays within its words."""
+    rng = np.random.default_rng(1)
+    text = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 1 << 40, n))
+    body, passage = text(200), text(40)
+    table = [(i, body) for i in range(5000)] + [(10_000 + i, f"{text(5)} {passage} {text(5)}") for i in range(2000)]
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(8)
+    found = substring.marks(df)
+    assert found.where("whole").count() == 4999 and found.where("value IS NOT NULL").count() == 1999
+    assert found.agg(F.max(F.length("value"))).first()[0] == 4 * (40 - 13 + 1)
+    out = {r.doc_id: r.n_removed for r in substring.dedup(df).collect()}
+    assert out == {i: 200 for i in range(1, 5000)} | {0: 0, 10_000: 0} | {10_000 + i: 40 for i in range(1, 2000)}
+
+
+def test_the_largest_id_is_no_null(spark):
+    body = " ".join(f"w{i}" for i in range(20))
+    table = [((1 << 63) - 1, body), (None, body), (None, body + " more"), (-5, "another " + body + " end")]
+    got = sorted(((r.doc_id, r.n_removed) for r in substring.dedup(spark.createDataFrame(table, "doc_id long, text string")).collect()), key=repr)
+    assert got == sorted([((1 << 63) - 1, 20), (None, 20), (None, 20), (-5, 0)], key=repr)
+
+
+def test_removal_keeps_columns_of_any_name(spark):
+    body = " ".join(f"w{i}" for i in range(20))
+    df = spark.createDataFrame([(1, body, "a", "b", "c", "d"), (2, body, "e", "f", "g", "h")], "doc_id long, text string, did string, __th string, __value string, whole string")
+    out = {r.doc_id: (r.text, r["did"], r["__th"], r["__value"], r.whole) for r in substring.remove(df).collect()}
+    assert out == {1: (body, "a", "b", "c", "d"), 2: ("", "e", "f", "g", "h")}
 
 
 # Pipeline
