@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import new_path, settled, ship
 
-__all__ = ["arrow_rows", "fresh", "most_frequent", "narrow", "new_path", "settled", "spread"]
+__all__ = ["arrow_rows", "fresh", "is_row", "most_frequent", "named", "narrow", "new_path", "settled", "spread"]
 
 #: Bytes of input that one task of a packed exchange stands for.
 TASK_BYTES = 128 << 20
@@ -26,6 +26,21 @@ def fresh(columns: list[str], name: str) -> str:
     return name
 
 
+def _hash(text):
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+def named(docs: DataFrame) -> DataFrame:
+    """did (null where doc_id is), th (a 128-bit hash of the text) and text, null text as empty: rows that agree in both fare alike."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("did"), _hash(text).alias("th"), text.alias("text"))
+
+
+def is_row(docs: DataFrame, did: str, th: str):
+    """The condition that a row of docs (doc_id, text) is the one that columns did and th of another table name."""
+    return F.col("doc_id").cast("long").eqNullSafe(F.col(did)) & (_hash(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col(th))
+
+
 def narrow(df: DataFrame, keys: DataFrame, row_bytes: int) -> DataFrame:
     """keys, marked for broadcast if their counted rows and the stated width of a row stay within the bound."""
     return F.broadcast(keys) if row_bytes <= BROADCAST_ROW_BYTES and keys.count() <= BROADCAST_ROWS else keys

@@ -1,10 +1,10 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
 A document is its set of word n-grams. Documents with equal sets form one node. Nodes that agree in a band of MinHash values
-are candidates; candidates are gathered into components, and a component into blocks, so that no task holds more than two blocks. Of
-each pair inside, MinHash values are compared a step at a time: with a uniform prior the matches seen so far give the posterior that
-the similarity reaches the threshold, and a pair is dropped once that is below the tolerance. Pairs that remain are verified
-exactly. Only links per document and spanning edges leave a task, never the pairs of a group.
+are candidates. Inside a band's group, and nowhere else, their MinHash values are compared a step at a time: with a uniform prior the
+matches seen so far give the posterior that the similarity reaches the threshold, and a pair is dropped once that is below the
+tolerance. Pairs that remain make classes of candidates; a class is cut into blocks, and block pairs are pruned again by other
+values and verified exactly. Only links per document and spanning edges leave a task, never the pairs of a group.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import arrow_rows, narrow, settled, spread
+from ._store import arrow_rows, fresh, is_row, named, narrow, settled, spread
 from ._text import Words, mix, windows
 from .components import connected_components
 
@@ -30,9 +30,8 @@ THRESHOLD = (4, 5)
 BANDS, ROWS = 48, 6
 #: Values compared, a step at a time, and the posterior below which a pair is dropped.
 COMPARED, STEP, TOLERANCE = 128, 16, 1e-9
-#: Nodes of a block.
-BLOCK = 256
-LAST = (1 << 63) - 1
+#: Nodes of a block and bytes of its n-grams, about; nodes of a block of a band's group.
+BLOCK, BLOCK_BYTES, GROUP = 256, 32 << 20, 1024
 
 
 @lru_cache(4)
@@ -133,63 +132,132 @@ def _inner(grams: list[np.ndarray], at: list[int], to: list[int]) -> np.ndarray:
     return total[place[at], place[to]].astype(np.int64)
 
 
-def _named(docs: DataFrame) -> DataFrame:
-    """did (LAST for null), th (a hash of the text), text."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"), F.xxhash64(text).alias("th"), text.alias("text"))
+class Classes:
+    """Disjoint sets of 0 .. n - 1, each named by its least member."""
 
+    def __init__(self, n: int):
+        self.label = np.arange(n)
 
-def signed(named: DataFrame) -> DataFrame:
-    """did, th, sid (128-bit hash of the set of n-grams, null without words), keys (a hash of each band)."""
+    def join(self, i: int, others: np.ndarray) -> None:
+        labels = np.unique(self.label[np.append(others, i)])
+        if len(labels) > 1:
+            self.label[np.isin(self.label, labels)] = labels[0]
+
+
+def survivors(values: np.ndarray, left: np.ndarray, right: np.ndarray | None) -> np.ndarray:
+    """The class of each row of values (low bytes of MinHash values): pairs inside `left`, or between it and `right`, that the
+    posterior keeps are of one class. Pairs of one class already aren't compared. Equal low bytes of unequal values only keep more."""
+    made = Classes(len(values))
+    need = least_matches(compared=values.shape[1])
+    for k, i in enumerate(left.tolist()):
+        alive = left[k + 1 :] if right is None else right
+        alive = alive[made.label[alive] != made.label[i]]
+        match = np.zeros(len(alive), np.int64)
+        for s, least in enumerate(need):
+            if not len(alive):
+                break
+            part = slice(s * STEP, (s + 1) * STEP)
+            match += (values[alive, part] == values[i, part]).sum(1)
+            keep = match >= least
+            alive, match = alive[keep], match[keep]
+        if len(alive):
+            made.join(i, alive)
+    return made.label
+
+
+def signed(rows: DataFrame) -> DataFrame:
+    """did, th, sid (128-bit hash of the set of n-grams, null without words), keys (a hash of each band), low (the low bytes of the
+    first COMPARED values of the bands), n (of the set). Values that agree by choice of the band can only keep a pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = Words(batch.column(2))
-            sid, keys = [], []
+            sid, keys, low, n = [], [], [], []
             for i in range(batch.num_rows):
                 grams = shingles(words.of(i))
+                values = minhash(grams, BANDS * ROWS, 1) if len(grams) else None
                 sid.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None)
-                keys.append(band_keys(minhash(grams, BANDS * ROWS, 1)) if len(grams) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sid, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["did", "th", "sid", "keys"])
+                keys.append(band_keys(values) if len(grams) else None)
+                low.append(values[:COMPARED].astype("u1").tobytes() if len(grams) else None)
+                n.append(len(grams))
+            cols = [pa.array(sid, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.binary()), pa.array(n, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["did", "th", "sid", "keys", "low", "n"])
+
+    return rows.mapInArrow(run, "did long, th binary, sid binary, keys array<bigint>, low binary, n long")
+
 
-    return named.mapInArrow(run, "did long, th long, sid binary, keys array<bigint>")
+def _dealt(pairs: DataFrame, group: str, parts: int) -> DataFrame:
+    """Rows of a block pair (group, i, j; blocks) in one task, the pairs of a group one after the other over all tasks."""
+    at = F.col("i").cast("long") * F.col("blocks") + F.col("j")
+    return pairs.repartitionById(parts, F.pmod(F.xxhash64(group) + at, F.lit(parts)).cast("int")).sortWithinPartitions(group, "i", "j", "sid")
 
 
-def _candidates(nodes: DataFrame) -> DataFrame:
-    """sid, root, size of each node that shares a band with another. A node joins each band's least node, never all of them."""
+def _paired(members: DataFrame) -> DataFrame:
+    """A row for each block pair that a row (blocks, sid) belongs to: i <= j, own is its block."""
+    own = members.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return own.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Consecutive rows that agree in the first three columns."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and row[:3] != held[0][:3]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _candidates(nodes: DataFrame, parts: int) -> DataFrame:
+    """sid, root, size, bytes of each node that a band and the pruning put in a class with another.
+
+    Bands whose groups have the same members count once. A group is compared in blocks, and sends on an edge for each node at most.
+    """
     keyed = nodes.select("sid", F.explode("keys").alias("key"))
-    common = settled(keyed.groupBy("key").count().where("count > 1").select("key"), "bands")
-    members = settled(keyed.join(common, "key"), "band-members")
-    heads = settled(members.groupBy("key").agg(F.min("sid").alias("head")), "band-heads")
-    tree = connected_components(members.join(heads, "key").select(F.col("sid").alias("a"), F.col("head").alias("b")))
+    members = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("y")]
+    groups = keyed.groupBy("key").agg(*members).where("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key"))
+    groups = settled(groups.select("key", F.ceil(F.col("n") / GROUP).cast("int").alias("blocks")), "bands")
+    own = settled(keyed.join(narrow(keyed, groups, 16), "key").join(nodes.select("sid", "low"), "sid").select("key", "blocks", "sid", "low"), "band-members")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches):
+            block = np.array([r[3] for r in rows])
+            values = np.frombuffer(b"".join(r[5] for r in rows), "u1").reshape(len(rows), -1)
+            _, i, j = rows[0][:3]
+            label = survivors(values, np.flatnonzero(block == i), None if i == j else np.flatnonzero(block == j))
+            at = np.flatnonzero(label != np.arange(len(rows))).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([rows[k][4] for k in at], pa.binary()), pa.array([rows[label[k]][4] for k in at], pa.binary())], names=["a", "b"])
+
+    edges = _dealt(_paired(own).select("key", "i", "j", "own", "sid", "low", "blocks"), "key", parts).mapInArrow(compare, "a binary, b binary")
+    tree = connected_components(edges)
     labels = settled(tree.select(F.col("node").alias("sid"), "root").unionByName(tree.select(F.col("root").alias("sid"), "root").distinct()), "candidates")
-    sizes = settled(labels.groupBy("root").agg(F.count("*").alias("size")), "candidate-sizes")
+    sizes = settled(labels.join(nodes.select("sid", "n"), "sid").groupBy("root").agg(F.count(F.lit(1)).alias("size"), (F.sum("n") * 8).alias("bytes")), "candidate-sizes")
     return labels.join(sizes, "root")
 
 
-def _verified(named: DataFrame, nodes: DataFrame, candidates: DataFrame) -> DataFrame:
+def _verified(rows: DataFrame, nodes: DataFrame, candidates: DataFrame, parts: int) -> DataFrame:
     """sid, links (documents linked), parent (a linked node, the least that its task saw), whole (parent is final)."""
-    wanted = settled(candidates.join(nodes.select("sid", "did", "th", "copies"), "sid"), "wanted")
-    slim = narrow(named, wanted.select(F.col("did").alias("_d"), F.col("th").alias("_t")), 32)
-    texts = named.join(slim, (F.col("did") == F.col("_d")) & (F.col("th") == F.col("_t")), "left_semi").join(wanted, ["did", "th"])
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    wanted = settled(candidates.join(nodes.select("sid", "did", "th", "copies"), "sid").withColumn("blocks", blocks).select("did", "th", "sid", "root", "blocks", "copies"), "wanted")
+    right = wanted.select(F.col("did").alias("d"), F.col("th").alias("t"), "sid", "root", "blocks", "copies")
+    same = F.col("did").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))
+    texts = rows.join(narrow(rows, right.select("d", "t"), 24), same, "left_semi").join(right, same)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = Words(batch.column(4))
             grams = [shingles(words.of(i)) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([g.tobytes() for g in grams], pa.binary()), pa.array([minhash(g, COMPARED, 2).tobytes() for g in grams], pa.binary())], names=["sid", "root", "size", "copies", "grams", "hashes"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([g.tobytes() for g in grams], pa.binary()), pa.array([minhash(g, COMPARED, 2).tobytes() for g in grams], pa.binary())], names=["sid", "root", "blocks", "copies", "grams", "hashes"])
 
-    sketched = texts.select("sid", "root", "size", "copies", "text").mapInArrow(sketch, "sid binary, root binary, size long, copies long, grams binary, hashes binary")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
-    pairs = sketched.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "blocks", "sid", "copies", "grams", "hashes")
-    tasks = pairs.repartition(spread(named), "root", "i", "j").sortWithinPartitions("root", "i", "j", "sid")
+    sketched = texts.select("sid", "root", "blocks", "copies", "text").mapInArrow(sketch, "sid binary, root binary, blocks int, copies long, grams binary, hashes binary")
+    tasks = _dealt(_paired(sketched).select("root", "i", "j", "own", "blocks", "sid", "copies", "grams", "hashes"), "root", parts)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def out() -> pa.RecordBatch | None:
+        for held in _runs(batches):
             rows = [r for k, r in enumerate(held) if not k or r[5] != held[k - 1][5]]  # repeated rows of one node
             _, i, j, _, blocks, *_ = rows[0]
             own = np.array([r[3] for r in rows])
@@ -198,45 +266,34 @@ def _verified(named: DataFrame, nodes: DataFrame, candidates: DataFrame) -> Data
             left = np.flatnonzero(own == i)
             pairs = links(grams, values, left, None if i == j else np.flatnonzero(own == j))
             if not pairs:
-                return None
-            parent, total = list(range(len(rows))), [0] * len(rows)
-
-            def top(k: int) -> int:
-                while parent[k] != k:
-                    parent[k] = parent[parent[k]]
-                    k = parent[k]
-                return k
-
+                continue
+            made, total = Classes(len(rows)), [0] * len(rows)
             for a, b in pairs:
                 total[a] += rows[b][6]
                 total[b] += rows[a][6]
-                x, y = sorted((top(a), top(b)))
-                parent[y] = x  # rows are in order of sid
-            at = [k for k, n in enumerate(total) if n]
-            cols = [pa.array([rows[k][5] for k in at], pa.binary()), pa.array([total[k] for k in at], pa.int64()), pa.array([rows[top(k)][5] for k in at], pa.binary()), pa.array([blocks == 1] * len(at))]
-            return pa.RecordBatch.from_arrays(cols, names=["sid", "links", "parent", "whole"])
-
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and row[:3] != held[0][:3]:
-                    if (made := out()) is not None:
-                        yield made
-                    held = []
-                held.append(row)
-        if held and (made := out()) is not None:
-            yield made
+                if made.label[a] != made.label[b]:
+                    made.join(a, np.array([b]))
+            at = [k for k, n in enumerate(total) if n]  # rows are in order of sid
+            cols = [pa.array([rows[k][5] for k in at], pa.binary()), pa.array([total[k] for k in at], pa.int64()), pa.array([rows[made.label[k]][5] for k in at], pa.binary()), pa.array([blocks == 1] * len(at))]
+            yield pa.RecordBatch.from_arrays(cols, names=["sid", "links", "parent", "whole"])
 
     return tasks.mapInArrow(verify, "sid binary, links long, parent binary, whole boolean")
 
 
+def _order(*more: str):
+    """What orders documents: numbered ones by id, then those without."""
+    return F.struct(F.col("did").isNull().alias("none"), "did", *more)
+
+
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All rows (doc_id's did, th, sid), and of each node with copies or links: sid, root, class_id, n_links."""
     arrow_rows(docs.sparkSession, size=4 << 20)
-    named = _named(docs)
-    rows = settled(signed(named), "signatures")
-    least = F.min(F.struct("did", "th"))
-    nodes = settled(rows.where(F.col("sid").isNotNull()).groupBy("sid").agg(least.alias("k"), F.count("*").alias("copies"), F.first("keys").alias("keys")).select("sid", "k.did", "k.th", "copies", "keys"), "nodes")
-    found = settled(_verified(named, nodes, _candidates(nodes)), "links")
+    own, parts = named(docs), spread(docs)
+    rows = settled(signed(own), "signatures")
+    first = [F.first(c).alias(c) for c in ("keys", "low", "n")]
+    nodes = rows.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min(_order("th")).alias("k"), F.count(F.lit(1)).alias("copies"), *first)
+    nodes = settled(nodes.select("sid", "k.did", "k.th", "copies", "keys", "low", "n"), "nodes")
+    found = settled(_verified(own, nodes, _candidates(nodes, parts), parts), "links")
     done = found.where("whole").select("sid", F.col("parent").alias("root"))
     open_ = connected_components(found.where("NOT whole").select(F.col("sid").alias("a"), F.col("parent").alias("b"))).select(F.col("node").alias("sid"), "root")
     roots = settled(done.unionByName(open_), "roots")
@@ -244,7 +301,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     many = nodes.select("sid", "did", "copies").join(total, "sid", "left").join(roots, "sid", "left").where((F.col("copies") > 1) | F.col("links").isNotNull())
     many = settled(many.select("sid", "did", F.coalesce("root", "sid").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "linked")
     heads = settled(many.groupBy("root").agg(F.min("did").alias("class_id")), "classes")
-    return rows, settled(many.join(heads, "root").select("sid", "root", "class_id", "n_links"), "members")
+    return rows.select("did", "th", "sid"), settled(many.join(heads, "root").select("sid", "root", "class_id", "n_links"), "members")
 
 
 def similar(docs: DataFrame) -> DataFrame:
@@ -257,23 +314,25 @@ def similar(docs: DataFrame) -> DataFrame:
     """
     rows, members = _classes(docs)
     known = rows.select("did", "sid").join(members.drop("root"), "sid", "left")
-    null = lambda c: F.when(c != LAST, c)
-    return known.select(null(F.col("did")).alias("doc_id"), null(F.coalesce("class_id", "did")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return known.select(F.col("did").alias("doc_id"), F.coalesce("class_id", "did").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose class has a row of smaller (doc_id, text hash); of repeated rows one stays. Other columns pass."""
+    """docs without the rows whose class has an earlier one; of repeated rows one stays. Other columns pass, whatever their names.
+
+    Earlier: smaller doc_id, null after all others, then by a hash of the text. Texts without words (null or empty) are in no class
+    and all stay. Ties only arise between repeated rows. Empty table: no rows. Very long texts: whole.
+    """
     rows, members = _classes(docs)
-    known = settled(rows.where(F.col("sid").isNotNull()).select("did", "th", "sid").join(members.select("sid", "root"), "sid").select("did", "th", "root"), "class-rows")
-    first = settled(known.groupBy("root").agg(F.min(F.struct("did", "th")).alias("k")), "class-first")
-    gone = known.join(first, "root").where(F.struct("did", "th") != F.col("k")).select(F.col("did").alias("_d"), F.col("th").alias("_t")).distinct()
-    gone = narrow(docs, settled(gone, "gone"), 32)
-    did, th = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    kept = docs.join(gone, (did == F.col("_d")) & (th == F.col("_t")), "left_anti")
-    again = known.groupBy("did", "th").count().where("count > 1").limit(1).count()
-    if not again:
+    d, t = fresh(docs.columns, "did"), fresh(docs.columns, "th")
+    known = settled(rows.where(F.col("sid").isNotNull()).join(members.select("sid", "root"), "sid").select("did", "th", "root"), "class-rows")
+    first = settled(known.groupBy("root").agg(F.min(_order("th")).alias("k")), "class-first")
+    gone = known.join(first, "root").where(_order("th") != F.col("k")).select(F.col("did").alias(d), F.col("th").alias(t)).distinct()
+    kept = docs.join(narrow(docs, settled(gone, "gone"), 32), is_row(docs, d, t), "left_anti")
+    twice = known.groupBy("did", "th").count().where("count > 1").select(F.col("did").alias(d), F.col("th").alias(t))
+    twice = settled(twice, "repeated")
+    if not twice.limit(1).count():
         return kept
-    twice = known.groupBy("did", "th").count().where("count > 1").select(F.col("did").alias("_d"), F.col("th").alias("_t"))
-    on = (did == F.col("_d")) & (th == F.col("_t"))
-    once = kept.join(twice, on, "left_semi").withColumns({"_d": did, "_t": th}).dropDuplicates(["_d", "_t"]).drop("_d", "_t")
-    return kept.join(twice, on, "left_anti").unionByName(once)
+    once = kept.join(twice, is_row(docs, d, t))  # a row of docs meets one of twice
+    once = once.dropDuplicates([d, t]).drop(d, t)
+    return kept.join(twice, is_row(docs, d, t), "left_anti").unionByName(once)

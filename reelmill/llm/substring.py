@@ -25,7 +25,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import arrow_rows, fresh, narrow, settled, spread
+from ._store import arrow_rows, fresh, is_row, named, narrow, settled, spread
 from ._text import Words, mix, spans, windows
 
 WINDOW = 13
@@ -89,16 +89,6 @@ def anchors(words: np.ndarray, window: int = WINDOW, plan: tuple[str, ...] = PLA
     return best
 
 
-def _named(docs: DataFrame) -> DataFrame:
-    """did, th (a 128-bit hash of the text) and text: rows that agree in did and th fare alike."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("did"), _hash(text).alias("th"), text.alias("text"))
-
-
-def _hash(text):
-    return F.unhex(F.md5(text.cast("binary")))
-
-
 #: What a document is called in packed arrays: did, whether did is null, both halves of th.
 _DOC = ("<i8", "u1", "<u8", "<u8")
 _ROWS = "answer boolean, bucket int, n long, data binary"
@@ -304,13 +294,13 @@ def covered(n_words: int, value: bytes | None, whole: bool, window: int) -> np.n
 def marks(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """did, th, value, whole of each row with repeated windows, settled: whole if a smaller did has the same text, else their places."""
     arrow_rows(docs.sparkSession)
-    named, buckets = _named(docs), spread(docs)
-    keys = settled(named.select("did", "th"), "texts")
+    rows, buckets = named(docs), spread(docs)
+    keys = settled(rows.select("did", "th"), "texts")
     many = settled(keys.groupBy("th").agg(F.count(F.lit(1)).alias("n"), F.min("did").alias("first")).where("n > 1").select("th", "first"), "copied")
     later = keys.join(narrow(keys, many, 24), "th").where(~F.col("did").eqNullSafe(F.col("first"))).select("did", "th").distinct()
     later = settled(later, "copies")
     gone = later.select(F.col("did").alias("d"), F.col("th").alias("t"))
-    texts = named.join(narrow(named, gone, 24), F.col("did").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left_anti")
+    texts = rows.join(narrow(rows, gone, 24), F.col("did").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left_anti")
     marked = settled(shared_anchors(texts, window, buckets), "anchors")
     found = repeated_windows(texts, marked, window, buckets).withColumn("whole", F.lit(False))
     return settled(found.unionByName(later.select("did", "th", F.lit(None).cast("binary").alias("value"), F.lit(True).alias("whole"))), "repeats")
@@ -320,9 +310,7 @@ def _with_marks(docs: DataFrame, window: int) -> tuple[DataFrame, str, str]:
     """docs with two columns, value and whole, and their names."""
     did, th, value, whole = (fresh(docs.columns, n) for n in ("did", "th", "value", "whole"))
     found = marks(docs, window).toDF(did, th, value, whole)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col(did)) & (_hash(text) == F.col(th))
-    return docs.join(found, on, "left").drop(did, th).withColumn(whole, F.coalesce(whole, F.lit(False))), value, whole
+    return docs.join(found, is_row(docs, did, th), "left").drop(did, th).withColumn(whole, F.coalesce(whole, F.lit(False))), value, whole
 
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:

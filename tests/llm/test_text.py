@@ -119,6 +119,7 @@ def in_order(df):
 @pytest.mark.parametrize("block", [256, 3])
 def test_similar(request, monkeypatch, table, block):
     monkeypatch.setattr(near, "BLOCK", block)
+    monkeypatch.setattr(near, "GROUP", block)
     df = request.getfixturevalue(table)
     own = in_order(df)
     label, n = plain_classes(own)
@@ -148,6 +149,44 @@ def test_large_group_of_near_copies(spark):
     assert max(n) > 250
 
 
+def test_a_chain_of_bands_is_no_class(spark, monkeypatch):
+    """Texts that overlap by half share bands with their neighbours, but no pair survives the pruning."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in rng.integers(0, 1 << 40, 3000)]
+    table = [(i, " ".join(words[30 * i : 30 * i + 60])) for i in range(98)]
+    monkeypatch.setattr(near, "ROWS", 2)  # then so much is enough to share a band
+    seen = []
+    links = near.connected_components
+    monkeypatch.setattr(near, "connected_components", lambda edges: seen.append(edges.count()) or links(edges))
+    nodes = near.settled(near.signed(near.named(spark.createDataFrame(table, "doc_id long, text string"))), "nodes")
+    keyed = nodes.select("sid", F.explode("keys").alias("key"))
+    assert keyed.groupBy("key").count().where("count > 1").count() > 200
+    assert near._candidates(nodes, 4).count() == 0 and seen == [0]
+
+
+def test_the_largest_id_is_an_id(spark):
+    top = (1 << 63) - 1
+    text = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([(top, text), (None, text), (None, "alone " * 3), (top - 1, "no copy here")], "doc_id long, text string")
+    assert rows(near.similar(df), "doc_id", "class_id", "n_links") == sorted([(top, top, 1), (None, top, 1), (None, None, 0), (top - 1, top - 1, 0)], key=repr)
+
+
+def test_representatives_keep_columns_of_any_name(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([(1, text, "a", "b"), (2, text, "c", "d"), (3, "x y z", "e", "f"), (1, text, "a", "b")], "doc_id long, text string, __did string, __TH string")
+    out = near.representatives(df)
+    assert out.columns == df.columns and rows(out, "doc_id", "__did", "__TH") == [(1, "a", "b"), (3, "e", "f")]
+
+
+def test_blocks_are_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK_BYTES", 4000)
+    base = [f"w{i}" for i in range(200)]
+    table = [(i, " ".join([*base[: 5 * i], f"x{i}", *base[5 * i + 1 :]])) for i in range(20)]
+    got = near.similar(spark.createDataFrame(table, "doc_id long, text string")).collect()
+    label, n = plain_classes(table)
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == [(i, table[c][0], k) for (i, _), c, k in zip(table, label, n, strict=True)]
+
+
 def test_exact_products_agree():
     rng = np.random.default_rng(4)
     grams = [np.unique(rng.integers(0, 900, 300).astype(np.uint64)) for _ in range(80)]
