@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import arrow_rows
+from ._store import arrow_rows, fresh
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BLANK = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -69,7 +69,7 @@ def in_band(size: int, packed: int, bands=BANDS) -> bool:
 
 
 def judge(docs: DataFrame, chunk: int = CHUNK, level: int = LEVEL, bands=BANDS, chunk_share: float = CHUNK_SHARE) -> DataFrame:
-    """docs (text, any other columns) with the columns of _OUT appended, a column of the same name replaced.
+    """docs (text, any other columns, whatever their names) with the columns of _OUT appended, a column of the same name replaced.
 
     Null or empty text: no words, so base_failed and not kept. Nulls in other columns pass through. Repeated rows: judged each.
     Empty table: no rows. Very long texts: whole, chunk by chunk. A ratio on a band's edge is inside it.
@@ -80,7 +80,7 @@ def judge(docs: DataFrame, chunk: int = CHUNK, level: int = LEVEL, bands=BANDS,
 
         pack = zstandard.ZstdCompressor(level=level, write_content_size=False, write_checksum=False).compress
         for batch in batches:
-            at = batch.schema.get_field_index("__text")
+            at = batch.num_columns - 1
             rows = []
             for text in batch.column(at).to_pylist():
                 text = text or ""
@@ -101,7 +101,7 @@ def judge(docs: DataFrame, chunk: int = CHUNK, level: int = LEVEL, bands=BANDS,
                         good = good and bad <= chunk_share * n_chunks
                 rows.append((n, chars, symbols, dup, rep, failed, ratio, bad, n_chunks, good))
             made = [pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(_OUT)]
-            keep = [i for i in range(batch.num_columns) if i != at]
+            keep = range(at)
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in keep] + made, names=[batch.schema.names[i] for i in keep] + _OUT.names)
 
     arrow_rows(docs.sparkSession)
@@ -109,4 +109,4 @@ def judge(docs: DataFrame, chunk: int = CHUNK, level: int = LEVEL, bands=BANDS,
     schema = docs.select(*[F.col(f"`{c}`") for c in rest]).schema
     for name, kind in (*((n, "long") for n in _OUT.names[:5]), ("base_failed", "boolean"), ("ratio", "double"), ("bad_chunks", "long"), ("n_chunks", "long"), ("kept", "boolean")):
         schema = schema.add(name, kind)
-    return docs.select(*[F.col(f"`{c}`") for c in rest], F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in rest], F.col("text").cast("string").alias(fresh(docs.columns, "text"))).mapInArrow(run, schema)
