@@ -5,7 +5,7 @@ come from all training documents; lower orders use continuation counts. Each ord
 interpolated log-probabilities, and one of context hashes with log back-off weights. Every language and every n-gram is kept: all that
 an n-gram's score looks up from order 3 on holds the two characters before its last, so the models are cut into shards by those two,
 which are files in the shared folder; orders 1 and 2 are a file for all shards. A text belongs to the language of the lowest
-cross-entropy a character; it is rejected if that exceeds the language's calibrated limit.
+cross-entropy a character; it is rejected if that exceeds the language's limit, which texts left out of the counts calibrate.
 """
 
 from __future__ import annotations
@@ -31,8 +31,9 @@ ORDER = 5
 SHARD, SHARDS, HELD = 200_000, 8, 4_000_000
 #: Distinct n-grams that a counting task holds before it hands them on, and languages scored at once.
 COUNTED, SCORED = 600_000, 32
-#: Share of a language's own texts that may be rejected, and the width of a class of cross-entropies.
-REJECTED, WIDTH = 0.001, 0.001
+#: Share of a language's own texts that may be rejected, the width of a class of cross-entropies, and how many texts to one that
+#: calibrates. What is added to limits of languages whose texts were all counted.
+REJECTED, WIDTH, ASIDE, MARGIN = 0.001, 0.001, 10, 0.1
 UNKNOWN = "und"
 _FACTORS = np.random.default_rng(77).integers(0, 1 << 62, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -216,7 +217,10 @@ def _plain(docs: DataFrame, *more) -> DataFrame:
 
 
 def train(docs: DataFrame, order: int = ORDER, shard: int = SHARD) -> Models | None:
-    """A model for each lang of docs (text, lang), of all rows where neither is null, of order 3 at least; None without letters."""
+    """A model for each lang of docs (text, lang), of all rows where neither is null, of order 3 at least; None without letters.
+
+    Repeated rows count each; a language without letters in its texts has no model. Empty table: None. Very long texts: whole.
+    """
     arrow_rows(docs.sparkSession, size=2 << 20)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,10 +308,11 @@ def entropies(texts: list, models: Models | None, names: list[str] | None = None
 
 
 def calibrate(docs: DataFrame, models: Models | None, rejected: float = REJECTED) -> dict[str, float]:
-    """Each language's limit: the cross-entropy that all but a share `rejected` of its own distinct texts stay under, and a tenth.
+    """Each language's limit: the cross-entropy that all but a share `rejected` of its distinct texts in docs (text, lang) stay under.
 
-    Every training text is scored under its own language. The share is taken over classes of WIDTH, whose upper bound is the limit.
-    The texts are those that were counted, and the tenth stands for what that takes off their cross-entropy.
+    docs should not be among the texts that were counted. Each text is scored under its own language; the share is taken over
+    classes of WIDTH, whose upper bound is the limit. Null text or lang, texts without letters and languages that models lack: ignored.
+    Repeated texts count once. No model or an empty table: no limits.
     """
     if not models:
         return {}
@@ -332,11 +337,11 @@ def calibrate(docs: DataFrame, models: Models | None, rejected: float = REJECTED
     out = {}
     for lang, own in steps.items():
         n = np.cumsum([c for _, c in own])
-        out[lang] = 1.1 * WIDTH * own[int(np.searchsorted(n, (1 - rejected) * n[-1]))][0]
+        out[lang] = WIDTH * own[int(np.searchsorted(n, (1 - rejected) * n[-1]))][0]
     return out
 
 
-def identify(docs: DataFrame, models: Models | None, limits: dict[str, float] | None = None) -> DataFrame:
+def identify(docs: DataFrame, models: Models | None, limit: dict[str, float] | None = None) -> DataFrame:
     """doc_id, lang_pred, score, entropy, rejected, a row for each row of docs (doc_id, text).
 
     Null text, text without a letter, or no model: `und`, score 0. Null doc_id: kept. Ties: the language with more training rows.
@@ -345,10 +350,10 @@ def identify(docs: DataFrame, models: Models | None, limits: dict[str, float] |
     """
     spark = docs.sparkSession
     arrow_rows(spark, size=2 << 20)
-    box = spark.sparkContext.broadcast((models, limits or {}))
+    box = spark.sparkContext.broadcast((models, limit or {}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models, limits = box.value
+        models, limit = box.value
         names = [*models.names] if models else []
         for batch in batches:
             ent, n = entropies(batch.column(1).to_pylist(), models)
@@ -360,7 +365,7 @@ def identify(docs: DataFrame, models: Models | None, limits: dict[str, float] |
                 best, low, share = np.zeros(len(n), np.int64), np.zeros(len(n)), np.zeros(len(n))
             known = (n > 0) & bool(names)
             pred = [names[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)]
-            over = [not k or e > limits.get(p, float("inf")) for p, e, k in zip(pred, low.tolist(), known.tolist(), strict=True)]
+            over = [not k or e > limit.get(p, float("inf")) for p, e, k in zip(pred, low.tolist(), known.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(np.where(known, share, 0.0)), pa.array(low), pa.array(over, pa.bool_())], names=["doc_id", "lang_pred", "score", "entropy", "rejected"])
 
     return _plain(docs).mapInArrow(run, "doc_id long, lang_pred string, score double, entropy double, rejected boolean")
@@ -371,9 +376,22 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
+def limits(docs: DataFrame, rejected: float = REJECTED, aside: int = ASIDE) -> dict[str, float]:
+    """Limits of the languages of docs (text, lang): one text in `aside`, by its hash, is scored by models counted without it.
+
+    A language with no text set aside, or with no other, has its counted texts scored, and MARGIN added.
+    """
+    own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    apart = F.pmod(F.xxhash64("text"), F.lit(aside)) == 0
+    sizes = own.groupBy("lang").agg(F.count_if(apart).alias("apart"), F.count_if(~apart).alias("rest")).collect()  # a row a language
+    parted = F.col("lang").isin([r.lang for r in sizes if r.apart and r.rest])
+    models = train(own.where(~(apart & parted)))
+    found = {lang: (1 + MARGIN) * v for lang, v in calibrate(own.where(~parted), models, rejected).items()}
+    return found | calibrate(own.where(apart & parted), models, rejected)
+
+
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, entropy, rejected: trained on what isn't held out, predicted for all rows."""
+    """doc_id, held_out, lang_pred, score, entropy, rejected: counted over all that isn't held out, predicted for all rows."""
     own = docs.where(~held_out(F.col("doc_id"))).select("text", "lang")
-    models = train(own)
-    out = identify(docs.select("doc_id", "text"), models, calibrate(own, models))
+    out = identify(docs.select("doc_id", "text"), train(own), limits(own))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "entropy", "rejected")

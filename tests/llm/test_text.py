@@ -73,7 +73,51 @@ def test_ledger_scans_only_what_is_new(spark, docs):
     assert ledger.update(versions).count() == 0
     more = spark.createDataFrame([(1, "a new version, token=abcdefg")], "path long, text string").withColumn("blob", secrets.blob(F.col("text")))
     assert ledger.update(versions.unionByName(more.select("path", "blob", "text"))).count() == 1
-    assert ledger.update(versions, "base-2").count() == distinct and ledger.read().count() == 2 * distinct + 1
+    assert ledger.read().count() == distinct + 1
+
+
+def digits(text):
+    return [("hex", m.start(), m.end()) for m in re.finditer("[0-9]{3,}", text)]
+
+
+def test_rules_go_by_their_version(spark, docs, monkeypatch):
+    monkeypatch.setattr(secrets, "RULES", dict(secrets.RULES))
+    secrets.add_rules("digits", digits)
+    with pytest.raises(ValueError):
+        secrets.add_rules("digits", secrets.find)
+    ledger = secrets.Ledger(spark)
+    df = spark.createDataFrame([(1, "token=abcdefg and 12345")], "doc_id long, text string")
+    found = {v: [tuple(s) for s in secrets.scan(df, ledger, v).first().spans] for v in ("base-1", "digits", "base-1")}
+    assert found == {"base-1": [("assign", 0, 13)], "digits": [("hex", 18, 23)]} and ledger.read().count() == 2
+    with pytest.raises(KeyError):
+        secrets.scan(df, ledger, "unheard of")
+
+
+def test_a_blob_in_two_batches_is_found_once(spark):
+    ledger = secrets.Ledger(spark)
+    df = spark.createDataFrame([(1, "token=abcdefg"), (2, "token=abcdefg"), (3, "clean")], "doc_id long, text string")
+    secrets.scan(df, ledger)
+    ledger.read().write.parquet(f"{ledger.path}/batch=another")  # as a writer at the same time leaves it
+    assert ledger.read().count() == 4
+    assert rows(secrets.report(df, ledger), "doc_id", "n_assign") == [(1, 1), (2, 1), (3, 0)]
+
+
+def test_history_is_scanned_once(spark, docs):
+    """All versions of all paths go in; a later day's versions bring only what is new, and findings go to every path."""
+    ledger = secrets.Ledger(spark)
+    old = docs.withColumn("text", F.concat(F.lit("draft of "), "text"))
+    secrets.scan(old, ledger).count()
+    before = ledger.read().count()
+    assert rows(secrets.report(docs, ledger), "doc_id", "spans") == rows(secrets.report(docs), "doc_id", "spans")
+    assert ledger.read().count() == before + docs.select("text").distinct().count()
+
+
+def test_scans_keep_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "token=abcdefg", "a", "b"), (2, "clean", "c", "d")], "doc_id long, text string, __blob string, __spans string")
+    assert rows(secrets.redacted(df), "doc_id", "text", "__blob", "__spans") == [(1, "[assign]", "a", "b"), (2, "clean", "c", "d")]
+    assert rows(secrets.scan(df), "doc_id", "__blob", "__spans") == [(1, "a", "b"), (2, "c", "d")]
+    odd = quality.judge(df.withColumnRenamed("__blob", "__text"))
+    assert rows(odd, "doc_id", "__text", "n_words") == [(1, "a", 1), (2, "c", 1)]
 
 
 def test_redaction_leaves_clean_rows(docs):
@@ -316,6 +360,55 @@ def test_probabilities_sum_to_one():
         assert 0.8 < p <= 1.0001
 
 
+def plain_kneser_ney(texts, order):
+    """Interpolated Kneser-Ney from its definition: history and character -> probability."""
+    counts = {order: Counter()}
+    for t in texts:
+        c = tuple(langid.clean(t, order).tolist())
+        counts[order].update(c[i : i + order] for i in range(len(c) - order + 1))
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    cut, total, kinds = {}, defaultdict(int), defaultdict(int)
+    for k, own in counts.items():
+        once, twice = (sum(n == j for n in own.values()) for j in (1, 2))
+        cut[k] = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
+        for g, n in own.items():
+            total[g[:-1], k] += n
+            kinds[g[:-1], k] += 1
+
+    def p(gram):
+        k = len(gram)
+        below = p(gram[1:]) if k > 1 else 1 / (len(counts[1]) + 1)
+        if (gram[:-1], k) not in total:
+            return below
+        here = total[gram[:-1], k]
+        return max(counts[k][gram] - cut[k], 0) / here + cut[k] * kinds[gram[:-1], k] / here * below
+
+    return p
+
+
+def test_cross_entropies_equal_kneser_ney(spark):
+    table = [(t, lang) for _, t, lang in languages(90)]
+    models = langid.train(spark.createDataFrame(table, "text string, lang string"), shard=300)
+    asked = [t for t, _ in table[:20]] + ["abcmno xyz", "q", "Mix ABC éü zz"]
+    got, size = langid.entropies(asked, models)
+    for j, lang in enumerate(models.names):
+        p = plain_kneser_ney([t for t, own in table if own == lang], langid.ORDER)
+        for i, t in enumerate(asked):
+            c = tuple(langid.clean(t).tolist())
+            logs = [np.log(p(c[k : k + langid.ORDER])) for k in range(len(c) - langid.ORDER + 1)]
+            assert len(logs) == size[i] and got[i, j] == pytest.approx(-np.mean(logs), abs=1e-6)
+
+
+def test_strange_texts_are_rejected_and_own_ones_are_not(spark):
+    rng = np.random.default_rng(5)
+    own = [(i, t, lang) for i, t, lang in languages(3000)]
+    strange = [(10_000 + i, " ".join("".join(rng.choice(list(a), 5)) for _ in range(20)), None) for i, a in enumerate(["xyz", "adgjmpsvy", "жзик", "aamm"])]
+    out = {r.doc_id: r for r in langid.report(spark.createDataFrame(own + strange, "doc_id long, text string, lang string")).collect()}
+    assert all(out[i].rejected for i, _, _ in strange)
+    assert sum(out[i].rejected for i, _, _ in own if out[i].held_out) < 0.02 * sum(r.held_out for r in out.values())
+
+
 def test_every_language_and_n_gram_is_kept(spark, monkeypatch):
     monkeypatch.setattr(langid, "HELD", 1000)  # fewer than two shards
     rng = np.random.default_rng(3)
@@ -345,7 +438,21 @@ def test_limits_cover_every_language_and_distinct_text(spark):
     ent, _ = langid.entropies([t for t, _ in common + rare], models)
     for lang, limit in limits.items():
         own = [e for e, (_, l) in zip(ent[:, models.names.index(lang)], common + rare, strict=True) if l == lang]
-        assert limit == pytest.approx(1.1 * np.quantile(own, 0.999, method="inverted_cdf"), abs=0.002)
+        assert limit == pytest.approx(np.quantile(own, 0.999, method="inverted_cdf"), abs=0.002)
+
+
+def test_limits_come_from_texts_left_out_of_the_counts(spark):
+    common = [(text, lang) for _, text, lang in languages(1500)]
+    alone = [("tuv wxy zzz", "few")]
+    df = spark.createDataFrame(common + alone, "text string, lang string")
+    got = langid.limits(df)
+    apart = F.pmod(F.xxhash64("text"), F.lit(langid.ASIDE)) == 0
+    models = langid.train(df.where(~apart | (F.col("lang") == "few")))
+    for lang in ("aa", "bb", "cc"):
+        own = [r.text for r in df.where(apart & (F.col("lang") == lang)).collect()]
+        ent, _ = langid.entropies(own, models, [lang])
+        assert len(own) > 20 and got[lang] == pytest.approx(ent.max(), abs=0.0011)
+    assert got["few"] == pytest.approx(1.1 * langid.entropies([alone[0][0]], models, ["few"])[0][0, 0], abs=0.0022)
 
 
 # Vectors
