@@ -25,28 +25,48 @@ def _counted(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression bands keep."""
+    """Documents that the base rules and the compression bands keep.
+
+    Null or empty text, or fewer than ten words: rejected. Nulls elsewhere: kept as they are. Repeated rows: judged each. Ties: a ratio
+    on a band's edge is kept. Empty table: no rows. Very long texts: whole, chunk by chunk. Columns of any name pass.
+    """
     keep = judge(docs).where("kept")
     return keep.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, the smallest doc_id."""
+    """One document of each class of near duplicates, the smallest doc_id.
+
+    Null doc_id: after all others, then by a hash of the text. Texts without words (null or empty) all stay. Repeated rows: one
+    stays. Empty table: no rows. Very long texts: whole. Columns of any name pass.
+    """
     return representatives(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the words of windows that begin in an earlier document too."""
+    """Documents without the words of windows that begin in an earlier document too.
+
+    Null text stays null, fewer words than a window stay. Null doc_id: after all others, such rows don't cut each other, nor do rows
+    of one doc_id. Repeated rows: cut alike. Empty table: no rows. Very long texts: whole. Columns of any name pass; n_chars is counted again.
+    """
     return _counted(remove(docs), docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with each secret replaced by its kind in brackets."""
+    """Documents with each secret replaced by its kind in brackets.
+
+    Null text stays null; null doc_id: a path like any other. Repeated rows: scanned once, redacted each. Ties: of overlapping spans the
+    first names the stretch. Empty table: no rows. Very long texts: whole. Columns of any name pass; n_chars is counted again.
+    """
     return _counted(redacted(docs), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of power-of-two length, none across documents."""
+    """Token sequences of power-of-two length, none across documents.
+
+    Null or empty text: the end id alone. Null doc_id: kept as null. Repeated rows: packed each. Ties don't arise. Empty table: no
+    rows. Very long texts: whole, one batch at a time. Other columns are left out.
+    """
     return pack(docs)
 
 
