@@ -73,23 +73,36 @@ def floor_div(a, b) -> Column:
     return F.floor(col(a) / col(b)).cast("long")
 
 
+def round_div(a, b) -> Column:
+    """Integer division that rounds halves away from zero, whatever the sign; b is positive."""
+    a, b = col(a).cast("long"), col(b).cast("long")
+    return (F.sign(a) * F.floor((F.abs(a) + F.floor(b / 2)) / b)).cast("long")
+
+
+def gcd(a, b) -> Column:
+    """Greatest common divisor of two integers, zero if both are: Euclid's steps, at most 92 for 64 bits."""
+    pair = F.struct(F.abs(col(a).cast("long")).alias("x"), F.abs(col(b).cast("long")).alias("y"))
+    step = lambda p, _: F.when(p["y"] == 0, p).otherwise(F.struct(p["y"].alias("x"), (p["x"] % p["y"]).alias("y")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(92)), pair, step, lambda p: p["x"])
+
+
 def smoothstep(low: float, high: float, v) -> Column:
     t = clamp((col(v) - low) / (high - low), 0.0, 1.0)
     return t * t * (3 - 2 * t)
 
 
 def quality_steps(quality) -> tuple[Column, Column]:
-    """Luma and chroma quantizer steps of a quality from 1 to 100; halves round away from zero."""
-    raw = F.round(F.pow(F.lit(2.0), (F.lit(100.0) - col(quality)) / 12.5), 0)
+    """Luma and chroma quantizer steps of a quality, clamped to 1 to 100 first; halves round away from zero."""
+    raw = F.round(F.pow(F.lit(2.0), (F.lit(100.0) - clamp(quality, 1, 100)) / 12.5), 0)
     return clamp(raw, 1, 255).cast("int"), clamp(F.round(raw * 1.35, 0), 1, 255).cast("int")
 
 
 def adaptive_target(base: float, span: float, motion, detail, cut=None) -> Column:
-    """A quality target that falls with motion and detail; on a scene cut at least 0.6 of the stress applies."""
+    """A quality target that falls from base by up to span with motion and detail; on a scene cut at least 0.6 of the span stays."""
     m, d = smoothstep(0.75, 12.0, motion), smoothstep(4.0, 28.0, detail)
     stress = m * (F.lit(0.7) + 0.3 * d)
     if cut is not None:
-        stress = F.when(col(cut), F.greatest(stress, F.lit(0.6))).otherwise(stress)
+        stress = F.when(col(cut), F.least(stress, F.lit(0.4))).otherwise(stress)
     return F.lit(base) - span * stress
 
 

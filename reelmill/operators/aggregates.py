@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,20 +42,39 @@ def window_rollup(df: DataFrame, keys: list[str], window: str, value: str) -> Da
     return out.withColumn(window, F.when(F.col("__all") == 1, F.lit("combined")).otherwise(F.col(window))).drop("__all")
 
 
-def nearest_rank(df: DataFrame, keys: list[str], value: str, percents: list[int]) -> DataFrame:
-    """Exact nearest-rank percentiles: sorted[max(0, ceil(n p / 100) - 1)].
+#: Ranges that the values of a key are cut into when they are ranked.
+RANGES = 64
+
+
+def _at_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Callable]) -> DataFrame:
+    """keys, n and, by name, the value at 1-based rank(n) of each key's non-null values.
 
-    Values are counted before any window, so the window sees a row for each distinct value, not for each record.
+    Values are counted, then cut at quantiles of each key into ranges. Ranges are summed in order, and only inside a range are values
+    ordered, so no task sorts a whole key. Null keys are keys like any other.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
-    w = Window.partitionBy(*keys)
-    upto = counts.withColumn("__upto", F.sum("__c").over(w.orderBy("__v"))).withColumn("__n", F.sum("__c").over(w))
-    rank = lambda p: F.greatest(F.lit(1), F.ceil(F.col("__n") * p / F.lit(100)))
-    return upto.groupBy(*keys).agg(F.max("__n").alias("n"), *[F.min(F.when(F.col("__upto") >= rank(p), F.col("__v"))).alias(f"p{p}") for p in percents])
+    key = F.struct(*[F.col(k) for k in keys])
+    bounds = counts.groupBy(key.alias("__k")).agg(F.percentile_approx("__v", [i / RANGES for i in range(1, RANGES)], 1000).alias("__b"))
+    cut = counts.join(bounds, key.eqNullSafe(F.col("__k"))).withColumn("__r", F.size(F.filter("__b", lambda b: b < F.col("__v")))).drop("__b")
+    w = Window.partitionBy("__k")
+    before = w.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = cut.groupBy("__k", "__r").agg(F.sum("__c").alias("__m"))
+    ranges = ranges.select(F.col("__k").alias("__ok"), F.col("__r").alias("__or"), F.sum("__m").over(w).alias("__n"), F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__from"))
+    upto = cut.join(ranges, F.col("__k").eqNullSafe(F.col("__ok")) & (F.col("__r") == F.col("__or")))
+    upto = upto.withColumn("__upto", F.col("__from") + F.sum("__c").over(Window.partitionBy("__k", "__r").orderBy("__v")))
+    return upto.groupBy(*keys).agg(F.max("__n").alias("n"), *[F.min(F.when(F.col("__upto") >= rank(F.col("__n")), F.col("__v"))).alias(name) for name, rank in ranks.items()])
+
+
+def nearest_rank(df: DataFrame, keys: list[str], value: str, percents: list[int]) -> DataFrame:
+    """Exact nearest-rank percentiles: sorted[max(0, ceil(n p / 100) - 1)]. Keys without a value have no row."""
+    rank = lambda p: lambda n: F.greatest(F.lit(1), F.ceil(n * p / F.lit(100)))
+    return _at_ranks(df, keys, value, {f"p{p}": rank(p) for p in percents})
 
 
 def median_of_runs(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(value).alias("runs"), F.median(value).alias("median"))
+    """runs and the exact median of each key, the mean of the middle two where their number is even."""
+    middle = _at_ranks(df, keys, value, {"__low": lambda n: F.floor((n + 1) / 2), "__high": lambda n: F.floor(n / 2) + 1})
+    return middle.select(*keys, F.col("n").alias("runs"), ((F.col("__low") + F.col("__high")) / 2).alias("median"))
 
 
 def consistency(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

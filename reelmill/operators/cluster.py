@@ -57,9 +57,10 @@ def _sums(df: DataFrame, vector: str, ident: str, centres: np.ndarray) -> tuple[
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at]), pa.array([[str(v) for v in total[k]] for k in at], pa.list_(pa.string()))], names=["k", "n", "s"])
 
     counts, sums = np.zeros(len(centres)), [[0] * centres.shape[1] for _ in centres]
-    for r in df.select(vector).mapInArrow(run, "k int, n long, s array<string>").toLocalIterator():
-        counts[r.k] += r.n
-        sums[r.k] = [a + int(b) for a, b in zip(sums[r.k], r.s, strict=True)]
+    each = df.select(vector).mapInArrow(run, "k int, n long, s array<string>").select("k", "n", F.posexplode("s").alias("j", "s"))
+    for r in each.groupBy("k", "j").agg(F.sum("n").alias("n"), F.sum(F.col("s").cast("decimal(38,0)")).alias("s")).collect():  # centres x dimension
+        counts[r.k] = r.n
+        sums[r.k][r.j] = int(r.s)
     return counts, np.array([[v / (1 << 24) for v in s] for s in sums])
 
 
@@ -90,16 +91,39 @@ def kmeans(df: DataFrame, ident: str, vector: str, k: int, rounds: int = 10) ->
 
 
 def kcenter(df: DataFrame, ident: str, vector: str, usage: str, size: int) -> list[int]:
-    """Greedy bank: the row most used, then again and again the row worst served by the bank; ties by use, then id. The bank is
-    small; each step is one pass whose tasks send one row each."""
+    """Greedy bank of at most `size` rows: the most used, then again and again the row that the bank serves worst.
+
+    Rows of equal vectors are one source, with their usage summed and the least ident. A source's error is its usage times the
+    squared distance to the nearest chosen; ties go to the larger usage, then to the smaller vector in array order. A null usage is
+    zero; rows without a vector take no part; an empty table gives an empty bank. Each step is one pass whose tasks send one row each.
+    """
     ship(df.sparkSession)
-    df = settled(df.select(ident, vector, usage), "bank-rows")
-    row = df.orderBy(F.desc(usage), ident).select(ident, vector).first()
-    chosen, centres = [row[0]], np.array([row[1]], float)
-    while len(chosen) < size:
-        best = _best(df, ident, vector, centres, True)
-        if best is None or best[0] in chosen:
-            break
-        chosen.append(best[0])
-        centres = np.vstack([centres, best[1]])
+    vec = F.col(vector).cast("array<double>")
+    sources = df.where(vec.isNotNull()).groupBy(vec.alias("v")).agg(F.coalesce(F.sum(F.col(usage).cast("double")), F.lit(0.0)).alias("u"), F.min(F.col(ident).cast("long")).alias("id"))
+    sources = settled(sources, "bank-sources")
+
+    def worst(chosen: list[int], centres: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            top = None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x, use, ids = _vectors(batch, 0), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+                error = use * ((x[:, None, :] - centres[None]) ** 2).sum(2).min(1)
+                for i in np.lexsort((*x.T[::-1], -use, -error)).tolist():
+                    if ids[i] not in chosen:
+                        own = (-float(error[i]), -float(use[i]), x[i].tolist(), int(ids[i]))
+                        top = own if top is None else min(top, own)
+                        break
+            if top:
+                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in top], names=["e", "u", "v", "id"])
+
+        return sources.select("v", "u", "id").mapInArrow(run, "e double, u double, v array<double>, id long").orderBy("e", "u", "v").first()
+
+    row = sources.orderBy(F.desc("u"), "v").first()
+    chosen: list[int] = []
+    while row is not None:
+        chosen.append(row.id)
+        centres = np.vstack([centres, row.v]) if len(chosen) > 1 else np.array([row.v], float)
+        row = worst(chosen, centres) if len(chosen) < size else None
     return chosen

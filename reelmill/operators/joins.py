@@ -9,6 +9,8 @@ from ..functions.scalars import error_percent, sse
 
 #: A side up to this many rows may be broadcast; it is counted first.
 BROADCAST_ROWS = 100_000
+#: Entries of a bank at most: every row looks at them all.
+BANK_ROWS = 4096
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -49,9 +51,12 @@ def nearest_match(targets: DataFrame, target: str, candidates: DataFrame, value:
 def bank_neighbours(df: DataFrame, vector: str, ident: str, bank: DataFrame, n: int = 1) -> DataFrame:
     """The n entries of a small bank (slot, vec) nearest to each row, ties to the lower slot: ident, place, slot, error.
 
-    The bank travels as one broadcast array, and each row ranks it by itself; nothing is shuffled.
+    The bank travels as one broadcast array, and each row ranks it by itself; nothing is shuffled. Its rows are counted before they
+    become one; an empty bank gives no rows.
     """
-    whole = small(bank.agg(F.array_sort(F.collect_list(F.struct("slot", "vec"))).alias("__bank")))
+    if bank.limit(BANK_ROWS + 1).count() > BANK_ROWS:
+        raise ValueError(f"more than {BANK_ROWS} entries in a bank")
+    whole = F.broadcast(bank.agg(F.array_sort(F.collect_list(F.struct("slot", "vec"))).alias("__bank")))
     scored = F.transform("__bank", lambda b: F.struct(F.round(sse(F.col(vector), b["vec"]), 6).alias("error"), b["slot"].alias("slot")))
     top = df.crossJoin(whole).select(ident, F.posexplode(F.slice(F.array_sort(scored), 1, n)).alias("place", "__s"))
     return top.select(ident, "place", F.col("__s.slot").alias("slot"), F.col("__s.error").alias("error"))
@@ -73,7 +78,7 @@ def differing_sizes(a: DataFrame, b: DataFrame, key: str, size: str) -> DataFram
 
 
 def adjacent(df: DataFrame, key: str, *columns: str) -> DataFrame:
-    """Each row beside the one of the next key: an equi-join, so no global window."""
+    """Each row beside the one of key + 1: an equi-join, so no global window. A row before a gap has no neighbour and is left out."""
     nxt = df.select((F.col(key) - 1).alias(key), *[F.col(c).alias(f"next_{c}") for c in columns])
     return df.select(key, *columns).join(nxt, key)
 

@@ -46,7 +46,8 @@ def fold(df: DataFrame, keys: list[str], order: list[str], columns: list[str], m
 
 
 class GopPlanner:
-    """Cuts before a row if its group is full, or long enough and the row's score reaches the threshold."""
+    """Cuts before a row if its group is full, or long enough and the row's score reaches the threshold; where both hold, the
+    reason is the scene. A null score is no scene."""
 
     def __init__(self, least: int, most: int, threshold: float, score: str = "score"):
         self.least, self.most, self.threshold, self.score = least, most, threshold, score
@@ -60,31 +61,34 @@ class GopPlanner:
         if not first and (full or scene):
             self.group, self.length = self.group + 1, 0
         self.length += 1
-        why = None if self.length > 1 else "initial" if first else "maximum" if full else "scene"
+        why = None if self.length > 1 else "initial" if first else "scene" if scene else "maximum"
         return {"gop": self.group, "reason": why}
 
 
 class LeakyBucket:
-    """Rate control: a leaking buffer of excess size and a damped step from the size ratio set the next quantizer."""
+    """Rate control with an integer quantizer. The excess goes into a buffer, which then leaks; the next quantizer follows the size
+    ratio, damped more after a keyframe, and the buffer. It moves by one at least if the excess is over 8 % of the target.
+    A null size is zero."""
 
-    def __init__(self, target: float, window: float = 24.0, gain: float = 0.35, start: float = 32.0, size: str = "size"):
-        self.target, self.window, self.gain, self.q, self.size, self.buffer = target, window, gain, start, size, 0.0
+    def __init__(self, target: float, window: float = 24.0, start: int = 32, most: int = 255, size: str = "size", key: str = "key"):
+        self.target, self.window, self.q, self.most, self.size, self.key, self.buffer = target, window, start, most, size, key, 0.0
 
     def step(self, row: dict) -> dict:
         used, size = self.q, float(row[self.size] or 0)
-        self.buffer = self.buffer * (1 - 1 / self.window) + size - self.target
-        share = size / self.target if size > 0 else 1e-3
-        factor = math.exp(self.gain * math.log(share) + 0.22 * self.buffer / (self.target * self.window))
-        factor = min(1.25, max(0.8, factor))
-        following = self.q * factor
-        if round(following) == round(self.q) and abs(share - 1) > 0.08:
-            following = self.q + (1 if share > 1 else -1)
-        self.q = min(255.0, max(1.0, following))
+        excess = size - self.target
+        self.buffer = (self.buffer + excess) * (1 - 1 / self.window)
+        gain = 0.06 if row[self.key] else 0.16
+        pull = gain * math.log((size + 1) / (self.target + 1)) + 0.22 * (self.buffer / (self.target * self.window + 1))
+        following = int(self.q * min(1.25, max(0.8, math.exp(pull))) + 0.5)
+        if following == self.q and abs(excess) > 0.08 * self.target:
+            following += 1 if excess > 0 else -1
+        self.q = min(self.most, max(1, following))
         return {"q_used": used, "buffer": self.buffer, "q_next": self.q}
 
 
 class WindowDebt:
-    """Two-pass windows that repay their debt: half of it, at most a quarter of the nominal size, comes off the next target."""
+    """Two-pass windows that repay their debt: half of it, at most a quarter of the nominal size, comes off the next target. The error
+    is against the nominal size. A null size is zero."""
 
     def __init__(self, nominal: float, size: str = "size"):
         self.nominal, self.size, self.debt = nominal, size, 0.0
@@ -92,9 +96,9 @@ class WindowDebt:
     def step(self, row: dict) -> dict:
         part = min(0.25 * self.nominal, max(-0.25 * self.nominal, 0.5 * self.debt))
         goal = min(1.5 * self.nominal, max(0.5 * self.nominal, self.nominal - part))
-        actual = float(row[self.size] or 0)
-        self.debt = min(2 * self.nominal, max(-2 * self.nominal, self.debt + actual - self.nominal))
-        return {"target": goal, "error": (actual - goal) / goal, "debt": self.debt}
+        excess = float(row[self.size] or 0) - self.nominal
+        self.debt = min(2 * self.nominal, max(-2 * self.nominal, self.debt + excess))
+        return {"target": goal, "error": excess / (self.nominal + 1), "debt": self.debt}
 
 
 class SlewLimit:
@@ -111,22 +115,26 @@ class SlewLimit:
 
 
 class CatchUp:
-    """Late-frame policy: after `patience` late frames in a row, or a late one with a keyframe next, predicted frames are
-    skipped until a keyframe; a late keyframe begins the count anew."""
+    """Late-frame policy. A late predicted frame right before a keyframe isn't shown, and the keyframe is awaited; `patience` late
+    predicted frames in a row lead to the same wait. While it lasts, predicted frames are skipped; the keyframe ends it. late_run
+    is the count after the row; a late keyframe, a frame in time and a wait's begin before a keyframe set it to zero."""
 
     def __init__(self, patience: int = 3, late: str = "late", key: str = "key", key_next: str = "key_next"):
-        self.patience, self.late, self.key, self.key_next, self.run, self.skipping = patience, late, key, key_next, 0, False
+        self.patience, self.late, self.key, self.key_next, self.run, self.waiting = patience, late, key, key_next, 0, False
 
     def step(self, row: dict) -> dict:
-        if row[self.key]:
-            self.skipping, self.run = False, 0
-            return {"action": "show", "late_run": 0}
-        if self.skipping:
-            return {"action": "skip", "late_run": self.run}
-        self.run = self.run + 1 if row[self.late] else 0
-        if row[self.late] and (self.run >= self.patience or row[self.key_next]):
-            self.skipping = True
-        return {"action": "show", "late_run": self.run}
+        late, key = row[self.late], row[self.key]
+        show = True
+        if late and not key and row[self.key_next]:
+            self.run, self.waiting, show = 0, True, False
+        elif self.waiting:
+            show = bool(key)
+            if key:
+                self.run, self.waiting = 0, False
+        else:
+            self.run = self.run + 1 if late and not key else 0
+            self.waiting = self.run >= self.patience
+        return {"action": "show" if show else "skip", "late_run": self.run}
 
 
 class Reservoir:
@@ -153,7 +161,7 @@ class Reservoir:
 
 
 class FifoDictionary:
-    """A bounded dictionary of distinct entries that evicts the oldest: whether an entry is there, and its index from the newest."""
+    """A bounded dictionary of distinct entries that evicts the oldest: whether an entry is there, and its index from the oldest."""
 
     def __init__(self, most: int = 256, entry: str = "entry"):
         self.most, self.entry, self.held = most, entry, []
@@ -161,7 +169,7 @@ class FifoDictionary:
     def step(self, row: dict) -> dict:
         e = row[self.entry]
         if e in self.held:
-            return {"hit": True, "slot": len(self.held) - 1 - self.held.index(e)}
+            return {"hit": True, "slot": self.held.index(e)}
         self.held.append(e)
         if len(self.held) > self.most:
             self.held.pop(0)

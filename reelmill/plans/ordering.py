@@ -39,11 +39,11 @@ def seek_index(t):
     return ordered.carried(out, "doc_id", F.when(F.col("lang") == "fr", F.col("doc_id")), "last_key").drop("lang")
 
 
-@query("""WITH i AS (SELECT doc_id, max(CASE WHEN lang = 'fr' THEN doc_id END) OVER (ORDER BY doc_id) AS last_key, max(doc_id) OVER () AS top FROM documents), q AS (SELECT k * 37 AS target FROM range(0, 60) AS r(k))
+@query("""WITH i AS (SELECT doc_id, max(CASE WHEN lang = 'fr' THEN doc_id END) OVER (ORDER BY doc_id) AS last_key, max(doc_id) OVER () AS top FROM documents), q AS (SELECT doc_id + 1 AS target FROM documents)
  SELECT target, last_key AS start, doc_id - last_key AS discard FROM q JOIN i ON doc_id = least(target, top)""")
 def seek_lookup(t):
     index = ordered.carried(t.documents.select("doc_id", "lang"), "doc_id", F.when(F.col("lang") == "fr", F.col("doc_id")), "start")
-    return Q.seek(index, t.spark.range(60).select((F.col("id") * 37).alias("target")), "doc_id", "start")
+    return Q.seek(index, t.documents.select((F.col("doc_id") + 1).alias("target")), "doc_id", "start")  # the last lies beyond the end
 
 
 @query("""SELECT event_id, (event_id * 16000 * 1001) // 30000 AS start, ((event_id + 1) * 16000 * 1001) // 30000 - (event_id * 16000 * 1001) // 30000 AS samples FROM events""")
@@ -56,12 +56,9 @@ def tumbling_frames(t):
     return ordered.indexed(t.events.select("event_id", "value"), "event_id").groupBy(F.floor(F.col("idx") / 240).alias("frame_window")).agg(F.min("event_id").alias("first"), F.count("*").alias("n"), F.max("value").alias("worst"))
 
 
-@query("""SELECT event_id, event_id % 48 = 0 OR coalesce(abs(value - prev) > 100, false) AS cut FROM (SELECT event_id, value, lag(value) OVER (ORDER BY event_id) AS prev FROM events)""")
+@query("""SELECT event_id, prev IS NULL OR event_id % 48 = 0 OR coalesce(abs(value - prev) >= 100, false) AS cut FROM (SELECT event_id, value, lag(value) OVER (ORDER BY event_id) AS prev FROM events WHERE event_type <> 'error')""")
 def modulo_cut(t):
-    out = ordered.carried(t.events.select("event_id", "value"), "event_id", F.col("value"), "v")
-    before = out.select((F.col("event_id") + 1).alias("event_id"), F.col("value").alias("prev"))
-    jump = F.coalesce(F.abs(F.col("value") - F.col("prev")) > 100, F.lit(False))
-    return t.events.select("event_id", "value").join(before, "event_id", "left").select("event_id", ((F.col("event_id") % 48 == 0) | jump).alias("cut"))
+    return ordered.cuts(t.events.where("event_type <> 'error'").select("event_id", "value"), "event_id", "value", 48, 100.0).select("event_id", "cut")
 
 
 @query("""SELECT user_id, event_id, max(CASE WHEN event_type = 'signup' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id) AS marker FROM events""")
@@ -140,21 +137,21 @@ def lexi_argmin(t):
 
 @query("""WITH r AS (SELECT doc_id, n_chars, CAST(sum(n_chars) OVER (ORDER BY n_chars, doc_id) AS BIGINT) AS running FROM documents) SELECT doc_id, n_chars, running FROM r WHERE running <= 60000""")
 def budget_prefix(t):
-    return ordered.within_budget(t.documents.select("doc_id", "n_chars"), "n_chars", "doc_id", 60000, 256)
+    return ordered.within_budget(t.documents.select("doc_id", "n_chars"), "n_chars", "doc_id", 60000)
 
 
 @query("""WITH s AS (SELECT event_id, greatest(0.0, least(1.0, (value / 10 - 0.75) / 11.25)) AS m, greatest(0.0, least(1.0, (value / 5 - 4.0) / 24.0)) AS d, event_type = 'error' AS cut FROM events),
  p AS (SELECT event_id, m * m * (3 - 2 * m) AS m, d * d * (3 - 2 * d) AS d, cut FROM s)
- SELECT event_id, round(40.0 - 6.0 * CASE WHEN cut THEN greatest(m * (0.7 + 0.3 * d), 0.6) ELSE m * (0.7 + 0.3 * d) END, 6) AS target FROM p""")
+ SELECT event_id, round(40.0 - 6.0 * CASE WHEN cut THEN least(m * (0.7 + 0.3 * d), 0.4) ELSE m * (0.7 + 0.3 * d) END, 6) AS target FROM p""")
 def smoothstep_target(t):
     target = S.adaptive_target(40.0, 6.0, F.col("value") / 10, F.col("value") / 5, F.col("event_type") == "error")
     return t.events.select("event_id", F.round(target, 6).alias("target"))
 
 
-@query("""WITH q AS (SELECT p_partkey, p_size, round(pow(2.0, (100.0 - p_size) / 12.5)) AS raw FROM part)
+@query("""WITH q AS (SELECT p_partkey, p_size, round(pow(2.0, (100.0 - greatest(1, least(100, q))) / 12.5)) AS raw FROM (SELECT *, p_size * 3 - 20 AS q FROM part))
  SELECT p_partkey, p_size, CAST(greatest(1, least(255, raw)) AS INTEGER) AS step_y, CAST(greatest(1, least(255, round(raw * 1.35))) AS INTEGER) AS step_uv FROM q""")
 def quality_map(t):
-    y, uv = S.quality_steps(F.col("p_size"))
+    y, uv = S.quality_steps(F.col("p_size") * 3 - 20)
     return t.part.select("p_partkey", "p_size", y.alias("step_y"), uv.alias("step_uv"))
 
 
@@ -197,7 +194,7 @@ _STEPS = "SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_
 
 @query(f"""WITH RECURSIVE e AS ({_STEPS}), f AS (SELECT user_id, i, event_id, 1 AS len, 0 AS gop, 'initial' AS reason FROM e WHERE i = 1 UNION ALL
  SELECT e.user_id, e.i, e.event_id, CASE WHEN f.len >= 12 OR (f.len >= 3 AND e.value >= 80) THEN 1 ELSE f.len + 1 END, CASE WHEN f.len >= 12 OR (f.len >= 3 AND e.value >= 80) THEN f.gop + 1 ELSE f.gop END,
- CASE WHEN f.len >= 12 THEN 'maximum' WHEN f.len >= 3 AND e.value >= 80 THEN 'scene' END FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
+ CASE WHEN f.len >= 3 AND e.value >= 80 THEN 'scene' WHEN f.len >= 12 THEN 'maximum' END FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
  SELECT user_id, event_id, CAST(gop AS INTEGER) AS gop, reason FROM f""")
 def gop_plan(t):
     return state.fold(t.events, ["user_id"], ["event_id"], ["value"], lambda: state.GopPlanner(3, 12, 80.0, "value"), "gop int, reason string")
@@ -209,35 +206,60 @@ def slew_limit(t):
     return state.fold(t.events, ["user_id"], ["event_id"], ["value"], lambda: state.SlewLimit(), "smoothed double").withColumn("smoothed", F.round("smoothed", 6))
 
 
-@query()
+_FOLD = "FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1"
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, value AS v, event_type = 'signup' AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+ f AS (SELECT user_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS used, CAST(0 AS DOUBLE) AS buffer, CAST(32 AS BIGINT) AS q FROM e WHERE i = 1 UNION ALL
+ SELECT user_id, i, event_id, q0, b, CAST(greatest(1, least(255, CASE WHEN n = q0 AND v - 50 > 4 THEN n + 1 WHEN n = q0 AND v - 50 < -4 THEN n - 1 ELSE n END)) AS BIGINT) FROM
+ (SELECT *, CAST(floor(q0 * least(1.25, greatest(0.8, exp(CASE WHEN k THEN 0.06 ELSE 0.16 END * ln((v + 1) / 51) + 0.22 * (b / (50.0 * 24 + 1))))) + 0.5) AS BIGINT) AS n FROM
+ (SELECT e.user_id, e.i, e.event_id, e.v, e.k, f.q AS q0, (f.buffer + (e.v - 50)) * (1 - CAST(1 AS DOUBLE) / 24) AS b FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)))
+ SELECT user_id, event_id, used AS q_used, round(buffer, 6) AS buffer, q AS q_next FROM f WHERE i > 0""")
 def leaky_bucket(t):
-    return state.fold(t.events, ["user_id"], ["event_id"], ["value"], lambda: state.LeakyBucket(50.0, size="value"), "q_used double, buffer double, q_next double")
+    rows = t.events.select("user_id", "event_id", "value", (F.col("event_type") == "signup").alias("key"))
+    out = state.fold(rows, ["user_id"], ["event_id"], ["value", "key"], lambda: state.LeakyBucket(50.0, size="value"), "q_used long, buffer double, q_next long")
+    return out.withColumn("buffer", F.round("buffer", 6))
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS ({_STEPS}), f AS (SELECT user_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS event_id, CAST(0 AS DOUBLE) AS target, CAST(0 AS DOUBLE) AS error, CAST(0 AS DOUBLE) AS debt FROM e WHERE i = 1 UNION ALL
+ SELECT e.user_id, e.i, e.event_id, least(75.0, greatest(25.0, 50 - least(12.5, greatest(-12.5, 0.5 * f.debt)))), (e.value - 50) / 51, least(100.0, greatest(-100.0, f.debt + (e.value - 50))) {_FOLD})
+ SELECT user_id, event_id, round(target, 6) AS target, round(error, 6) AS error, round(debt, 6) AS debt FROM f WHERE i > 0""")
 def window_debt(t):
-    return state.fold(t.events, ["user_id"], ["event_id"], ["value"], lambda: state.WindowDebt(50.0, size="value"), "target double, error double, debt double")
+    out = state.fold(t.events, ["user_id"], ["event_id"], ["value"], lambda: state.WindowDebt(50.0, size="value"), "target double, error double, debt double")
+    return out.select("user_id", "event_id", *[F.round(c, 6).alias(c) for c in ("target", "error", "debt")])
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, event_id, value > 60 AS late, event_type = 'signup' AS k, event_id % 11 = 0 AS nxt, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+ f AS (SELECT user_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS event_id, 'show' AS action, 0 AS run, false AS waiting FROM e WHERE i = 1 UNION ALL
+ SELECT e.user_id, e.i, e.event_id, CASE WHEN late AND NOT k AND nxt THEN 'skip' WHEN f.waiting AND NOT k THEN 'skip' ELSE 'show' END,
+ CASE WHEN late AND NOT k AND nxt THEN 0 WHEN f.waiting THEN CASE WHEN k THEN 0 ELSE f.run END WHEN late AND NOT k THEN f.run + 1 ELSE 0 END,
+ CASE WHEN late AND NOT k AND nxt THEN true WHEN f.waiting THEN NOT k ELSE late AND NOT k AND f.run + 1 >= 3 END {_FOLD}) SELECT user_id, event_id, action, CAST(run AS INTEGER) AS late_run FROM f WHERE i > 0""")
 def catchup_state(t):
     rows = t.events.select("user_id", "event_id", (F.col("value") > 60).alias("late"), (F.col("event_type") == "signup").alias("key"), (F.col("event_id") % 11 == 0).alias("key_next"))
     return state.fold(rows, ["user_id"], ["event_id"], ["late", "key", "key_next"], lambda: state.CatchUp(), "action string, late_run int")
 
 
-@query()
+@query(f"""WITH RECURSIVE m(w) AS (SELECT CAST(18446744073709551616 AS HUGEINT)), e AS ({_STEPS}), f AS (SELECT user_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS event_id, CAST(88172645463325252 AS HUGEINT) AS x, CAST(0 AS HUGEINT) AS place FROM e WHERE i = 1 UNION ALL
+ SELECT user_id, i, event_id, x, CASE WHEN i <= 4 THEN i - 1 ELSE (x * 2685821657736338717) % w % i END FROM (SELECT user_id, i, event_id, w, CASE WHEN i <= 4 THEN x0 ELSE xor(b, b // 134217728) END AS x FROM
+ (SELECT *, xor(a, (a * 33554432) % w) AS b FROM (SELECT e.user_id, e.i, e.event_id, w, f.x AS x0, xor(f.x, f.x // 4096) AS a FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1 CROSS JOIN m))))
+ SELECT user_id, CAST(place AS INTEGER) AS place, max_by(event_id, i) AS event_id FROM f WHERE i > 0 AND place < 4 GROUP BY 1, 2""")
 def reservoir_sample(t):
     out = state.fold(t.events, ["user_id"], ["event_id"], [], lambda: state.Reservoir(4), "place int, nth long")
     return out.where("place IS NOT NULL").groupBy("user_id", "place").agg(F.max_by("event_id", "nth").alias("event_id"))
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, event_id, CAST(floor(value / 10) AS INTEGER) AS x, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+ f AS (SELECT user_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS event_id, false AS hit, CAST(0 AS INTEGER) AS slot, CAST([] AS INTEGER[]) AS held FROM e WHERE i = 1 UNION ALL
+ SELECT e.user_id, e.i, e.event_id, list_contains(held, x), CAST(CASE WHEN list_contains(held, x) THEN list_position(held, x) - 1 END AS INTEGER),
+ CASE WHEN list_contains(held, x) THEN held WHEN len(held) = 8 THEN list_append(held[2:], x) ELSE list_append(held, x) END {_FOLD}) SELECT user_id, event_id, hit, slot FROM f WHERE i > 0""")
 def fifo_dictionary(t):
-    rows = t.events.select("user_id", "event_id", F.col("value").cast("int").alias("entry"))
+    rows = t.events.select("user_id", "event_id", F.floor(F.col("value") / 10).cast("int").alias("entry"))
     return state.fold(rows, ["user_id"], ["event_id"], ["entry"], lambda: state.FifoDictionary(8), "hit boolean, slot int")
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, event_id, value AS mad, event_id % 97 AS kc, event_id % 89 AS pc, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+ f AS (SELECT user_id, i, event_id, true AS keyframe, 1 AS since FROM e WHERE i = 1 UNION ALL SELECT user_id, i, event_id, k, CASE WHEN k THEN 1 ELSE since + 1 END FROM
+ (SELECT e.user_id, e.i, e.event_id, f.since, CASE WHEN f.since >= 12 THEN true WHEN f.since < 3 AND mad < 20 THEN false ELSE kc <= pc END AS k {_FOLD})) SELECT user_id, event_id, keyframe FROM f""")
 def key_interval(t):
     rows = t.events.select("user_id", "event_id", F.col("value").alias("mad"), (F.col("event_id") % 97).alias("k_cost"), (F.col("event_id") % 89).alias("p_cost"))
     return state.fold(rows, ["user_id"], ["event_id"], ["mad", "k_cost", "p_cost"], lambda: state.KeyInterval(3, 12, 20.0), "keyframe boolean")
@@ -248,7 +270,13 @@ def kmeans_det(t):
     return cluster.kmeans(t.embeddings, "vec_id", "embedding", 6)[1]
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT p_partkey, p_size * 4 AS r, (p_partkey * 37) % 256 AS g, CAST(floor(p_retailprice) AS BIGINT) % 256 AS b, 1 + p_size % 7 AS u FROM part),
+ s AS (SELECT CAST(r AS DOUBLE) AS r, CAST(g AS DOUBLE) AS g, CAST(b AS DOUBLE) AS b, CAST(sum(u) AS DOUBLE) AS u, min(p_partkey) AS id FROM p GROUP BY 1, 2, 3),
+ z AS (SELECT 0 AS step, r, g, b, u, id, CAST(NULL AS DOUBLE) AS near, row_number() OVER (ORDER BY u DESC, r, g, b) = 1 AS pick FROM s UNION ALL
+ SELECT step + 1, r, g, b, u, id, near, row_number() OVER (ORDER BY taken, near DESC, u DESC, r, g, b) = 1 FROM (SELECT z.step, z.r, z.g, z.b, z.u, z.id, z.id = c.id OR coalesce(z.near, 1) < 0 AS taken,
+ CASE WHEN z.id = c.id OR z.near < 0 THEN -1.0 ELSE least(coalesce(z.near, 1e300), z.u * ((z.r - c.r) * (z.r - c.r) + (z.g - c.g) * (z.g - c.g) + (z.b - c.b) * (z.b - c.b))) END AS near FROM z CROSS JOIN (SELECT * FROM z WHERE pick) c WHERE z.step < 7))
+ SELECT CAST(step AS INTEGER) AS slot, id AS p_partkey FROM z WHERE pick""")
 def kcenter_bank(t):
-    chosen = cluster.kcenter(t.embeddings.withColumn("label", F.col("label").cast("long")), "vec_id", "embedding", "label", 8)
-    return t.spark.createDataFrame(list(enumerate(chosen)), T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("vec_id", T.LongType())]))
+    rows = t.part.select("p_partkey", F.array(F.col("p_size") * 4, F.col("p_partkey") * 37 % 256, F.floor("p_retailprice") % 256).alias("v"), (1 + F.col("p_size") % 7).alias("u"))
+    chosen = cluster.kcenter(rows, "p_partkey", "v", "u", 8)
+    return t.spark.createDataFrame(list(enumerate(chosen)), T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("p_partkey", T.LongType())]))

@@ -28,9 +28,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests on one machine) a folder of this process."""
+    """The folder named by spark.checkpoint.dir; where that is unset, on a local master, a folder of this process. A cluster must
+    name one: executors don't see a folder of this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="reelmill-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

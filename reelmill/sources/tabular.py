@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,12 +15,30 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p))
 
 
-def results(spark: SparkSession, path: str, matched: bool = False) -> DataFrame:
-    """Benchmark rows from JSON arrays, infinite levels included; no file, no rows. Absent SSIM columns are zero."""
+def sources(spark: SparkSession, patterns: list[str]) -> list[str]:
+    """The files that glob patterns and plain names stand for, each once, in order of the patterns and then of name; what doesn't
+    exist is left out, and none at all is an error. Listing is the file system's own, so any store will do."""
+    found: dict[str, None] = {}
+    for pattern in patterns:
+        p = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+        for status in sorted(str(s.getPath()) for s in p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or ()):
+            found[status] = None
+    if not found:
+        raise FileNotFoundError(f"no source matches {', '.join(patterns)}")
+    return list(found)
+
+
+def results(spark: SparkSession, path: str, matched: bool = False, report: bool = False) -> DataFrame:
+    """Benchmark rows from JSON arrays, infinite levels included; no file, no rows. Absent SSIM columns are zero. For a report, no rows
+    are an error."""
     schema = MATCHED if matched else RESULT
     if not _exists(spark, path):
+        if report:
+            raise ValueError(f"no results in {path}")
         return spark.createDataFrame([], schema)
     out = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    if report and not out.limit(1).count():
+        raise ValueError(f"no results in {path}")
     return out.fillna(0.0, [c for c in out.columns if c.startswith("ssim_")])
 
 
@@ -54,23 +70,52 @@ def joined_windows(manifest_rows: DataFrame, timing_rows: DataFrame) -> DataFram
     return out.withColumn("frame", F.when(F.col("frame").isNull(), absent.cast("long")).otherwise(F.col("frame")))
 
 
+_NAMED = {"true": True, "false": False, "null": None, "~": None}
+
+
+def _number(v: str) -> int | float | None:
+    """What Python reads as a number, but for what configurations spell as text: underscores, other digits, inf, nan, integers beyond
+    64 bits, and exponents without a point."""
+    if not v or not set(v) <= set("+-.0123456789eE"):
+        return None
+    try:
+        whole = int(v)
+        return whole if -(1 << 63) <= whole < 1 << 63 else None
+    except ValueError:
+        pass
+    try:
+        return float(v) if "." in v else None
+    except ValueError:
+        return None
+
+
 def scalar(text: str):
-    """true, false, null, integer, decimal or text, in that order; quoted text is text."""
+    """A configuration value: quoted text, true, false, null or ~ in any case, an integer, a decimal, or plain text."""
     v = text.strip()
-    if v[:1] in "'\"" and v:
-        if len(v) < 2 or v[-1] != v[0]:
+    quote = v[:1]
+    if quote in ("'", '"'):
+        end = v.rfind(quote)
+        if end != len(v) - 1 or end == 0:
             raise ValueError(f"unclosed quote: {text}")
-        return v[1:-1].replace("''", "'") if v[0] == "'" else v[1:-1]
-    low = v.lower()
-    if low in ("true", "false"):
-        return low == "true"
-    if low in ("null", "~"):
-        return None
-    if re.fullmatch(r"[+-]?\d+", v):
-        return int(v)
-    if re.fullmatch(r"[+-]?(?:\d+\.\d*|\d*\.\d+)(?:[eE][+-]?\d+)?", v):
-        return float(v)
-    return v
+        return v[1:end].replace(quote * 2, quote) if quote == "'" else v[1:end]
+    if v.lower() in _NAMED:
+        return _NAMED[v.lower()]
+    number = _number(v)
+    return v if number is None else number
+
+
+def _uncommented(line: str) -> str:
+    """The line up to a # that begins it or follows a blank, outside quotes. A quote opens where a value begins."""
+    quote, before = None, " "
+    for i, c in enumerate(line):
+        if quote:
+            quote = None if c == quote else quote
+        elif c in "'\"" and before == " ":
+            quote = c
+        elif c == "#" and before == " ":
+            return line[:i].rstrip()
+        before = c
+    return line.rstrip()
 
 
 # The keys a transcode configuration may have.
@@ -80,32 +125,35 @@ VIDEO_KEYS = ("name", "input", "width", "height", "fps", "format", "codec", "tar
 
 def transcode_config(text: str) -> dict:
     """A two-level configuration: settings, then `videos:` with a list of maps. Tabs, other structure and unknown keys are errors."""
-    out: dict = {}
-    videos: list[dict] | None = None
+    out: dict = {"videos": None}
     for number, raw in enumerate(text.splitlines(), 1):
         if "\t" in raw:
             raise ValueError(f"line {number}: tab")
-        line = re.sub(r"\s+#.*$", "", raw).rstrip()
-        if not line.strip() or line.lstrip().startswith("#"):
+        line = _uncommented(raw)
+        body = line.lstrip(" ")
+        if not body:
             continue
-        where, shape = (out, r"()([A-Za-z]\w*):\s*(.*)") if videos is None else (None, r"(  - |    )\s*([A-Za-z]\w*):\s*(.+)")
-        m = re.fullmatch(shape, line)
-        if not m or (videos == [] and m[1] != "  - "):
+        depth, videos = len(line) - len(body), out["videos"]
+        item = videos is not None and body.startswith("- ")
+        if item:
+            videos.append({})
+            body = body[2:].lstrip(" ")
+        wanted = 0 if videos is None else 2 if item else 4
+        name, colon, value = body.partition(":")
+        if depth != wanted or not colon or not name.isalnum() or not name[0].isalpha() or videos == []:
             raise ValueError(f"line {number}: structure")
-        if videos is None and m[2] == "videos" and not m[3]:
-            videos = []
+        value = value.strip()
+        if videos is None and name == "videos" and not value:
+            out["videos"] = []
             continue
-        if m[1] == "  - ":
-            videos.append({})
-        where = out if where is not None else videos[-1]
-        if m[2] not in (ROOT_KEYS if where is out else VIDEO_KEYS):
-            raise ValueError(f"line {number}: unknown key {m[2]}")
-        if not m[3]:
+        if name not in (ROOT_KEYS if videos is None else VIDEO_KEYS):
+            raise ValueError(f"line {number}: unknown key {name}")
+        if not value:
             raise ValueError(f"line {number}: no value")
-        where[m[2]] = scalar(m[3])
-    if not videos:
+        (out if videos is None else videos[-1])[name] = scalar(value)
+    if not out["videos"]:
         raise ValueError("no videos")
-    return out | {"videos": videos}
+    return out
 
 
 def config_frame(spark: SparkSession, config: dict) -> DataFrame:

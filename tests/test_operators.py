@@ -112,9 +112,9 @@ def test_seek_clamps_to_the_last_frame(spark):
 def test_folds_don_t_depend_on_partitions(spark):
     rng = np.random.default_rng(0)
     data = [(int(k), i, float(rng.integers(0, 120))) for i, k in enumerate(rng.integers(0, 5, 400))]
-    df = spark.createDataFrame(data, "k int, i int, value double")
-    for make, schema in ((lambda: state.GopPlanner(3, 12, 80.0, "value"), "gop int, reason string"), (lambda: state.LeakyBucket(50.0, size="value"), "q_used double, buffer double, q_next double")):
-        runs = [values(state.fold(df.repartition(n), ["k"], ["i"], ["value"], make, schema).drop("reason"), "k", "i", schema.split(" ")[0]) for n in (1, 4)]
+    df = spark.createDataFrame(data, "k int, i int, value double").withColumn("late", F.col("i") % 7 == 0)
+    for make, schema in ((lambda: state.GopPlanner(3, 12, 80.0, "value"), "gop int, reason string"), (lambda: state.LeakyBucket(50.0, size="value", key="late"), "q_used long, buffer double, q_next long")):
+        runs = [values(state.fold(df.repartition(n), ["k"], ["i"], ["value", "late"], make, schema).drop("reason"), "k", "i", schema.split(" ")[0]) for n in (1, 4)]
         assert runs[0] == runs[1] and len(runs[0]) == 400
 
 
@@ -123,6 +123,18 @@ def test_gop_planner():
     out = [p.step({"score": s}) for s in (0, 99, 99, 0, 0, 0, 0, 0)]
     assert [o["gop"] for o in out] == [0, 0, 1, 1, 1, 1, 2, 2]
     assert [o["reason"] for o in out] == ["initial", None, "scene", None, None, None, "maximum", None]
+    p = state.GopPlanner(1, 2, 10)
+    assert [p.step({"score": v})["reason"] for v in (0, 0, 99, None, None)] == ["initial", None, "scene", None, "maximum"]  # both hold at the third
+
+
+def test_leaky_bucket_by_hand():
+    b = state.LeakyBucket(100.0)
+    first = b.step({"size": 200, "key": True})  # 100 * 23 / 24; 32 * exp(0.06 * ln(201 / 101) + 0.22 * 95.833 / 2401) = 33.64
+    assert first == {"q_used": 32, "buffer": pytest.approx(95.833333, abs=1e-6), "q_next": 34}
+    second = b.step({"size": 0, "key": False})  # exp(0.16 * ln(1 / 101)) is below 0.8; 27.2
+    assert second == {"q_used": 34, "buffer": pytest.approx(-3.993056, abs=1e-6), "q_next": 27}
+    third = b.step({"size": 109, "key": False})  # 27.38 rounds to 27, but the excess is over 8
+    assert third == {"q_used": 27, "buffer": pytest.approx(4.798322, abs=1e-6), "q_next": 28}
 
 
 def test_catch_up_skips_until_a_keyframe():
@@ -131,6 +143,19 @@ def test_catch_up_skips_until_a_keyframe():
     assert [c.step({"late": late, "key": key, "key_next": False})["action"] for late, key in rows] == ["show", "show", "skip", "show", "show"]
 
 
+def test_catch_up_before_a_keyframe():
+    c = state.CatchUp(3)
+    rows = [(True, False, False), (True, False, True), (False, False, False), (True, True, False), (True, True, False), (True, False, False)]
+    out = [c.step({"late": late, "key": key, "key_next": nxt}) for late, key, nxt in rows]
+    assert [(o["action"], o["late_run"]) for o in out] == [("show", 1), ("skip", 0), ("skip", 0), ("show", 0), ("show", 0), ("show", 1)]
+
+
+def test_fifo_slots_count_from_the_oldest():
+    d = state.FifoDictionary(3)
+    assert [d.step({"entry": e})["slot"] for e in "abcacbda"] == [None, None, None, 0, 2, 1, None, None]
+    assert d.held == ["c", "d", "a"]
+
+
 def test_fifo_dictionary_evicts_the_oldest():
     d = state.FifoDictionary(2)
     assert [d.step({"entry": e})["hit"] for e in "abcabcc"] == [False, False, False, False, False, False, True]
@@ -141,7 +166,9 @@ def test_slew_and_debt_bounds():
     levels = [s.step({"value": v})["smoothed"] for v in (40, 30, None, 50)]
     assert levels == pytest.approx([40, 39.1, 39.1, 39.35])
     w = state.WindowDebt(100)
-    assert [w.step({"size": 500})["target"] for _ in range(3)] == [100, 75, 75] and w.debt == 200
+    out = [w.step({"size": 500}) for _ in range(3)]
+    assert [o["target"] for o in out] == [100, 75, 75] and w.debt == 200
+    assert out[1]["error"] == pytest.approx(400 / 101)  # against the nominal size
 
 
 def test_reservoir_is_uniform_enough(spark):
@@ -164,6 +191,94 @@ def test_kcenter_takes_the_worst_served(spark):
     assert cluster.kcenter(df, "id", "v", "u", 3) == [0, 2, 3]
 
 
+def test_kcenter_weighs_and_combines(spark):
+    data = [(7, [0.0, 0.0], 3), (5, [0.0, 0.0], 3), (1, [4.0, 0.0], 5), (2, [9.0, 0.0], 1), (3, [0.0, 5.0], None), (4, None, 99), (6, [2.0, 1.0], 4)]
+    df = spark.createDataFrame(data, "id long, v array<double>, u long")
+    # (0, 0) is used 6 times; errors then are 5 * 16, 81, 0 and 4 * 5; with (9, 0) chosen 80 and 20; then min(16, 5 * ...) for (2, 1)
+    assert cluster.kcenter(df.repartition(3), "id", "v", "u", 4) == [5, 2, 1, 6]
+    assert cluster.kcenter(df.where("id = 4"), "id", "v", "u", 4) == []
+
+
+def test_adaptive_target_keeps_a_floor_on_cuts(spark):
+    df = spark.createDataFrame([(0.0, 0.0, True), (12.0, 28.0, True), (12.0, 28.0, False), (0.0, 99.0, None)], "m double, d double, cut boolean")
+    got = [r[0] for r in df.select(S.adaptive_target(40.0, 6.0, "m", "d", "cut")).collect()]
+    assert got == pytest.approx([40.0, 37.6, 34.0, 40.0])  # 34 + 0.6 * 6 at least on a cut
+
+
+def test_quality_is_clamped(spark):
+    df = spark.createDataFrame([(-5.0,), (1.0,), (100.0,), (150.0,)], "q double")
+    y, uv = S.quality_steps("q")
+    assert [tuple(r) for r in df.select(y, uv).collect()] == [(242, 255), (242, 255), (1, 1), (1, 1)]
+
+
+def test_signed_division_and_gcd(spark):
+    df = spark.createDataFrame([(5, 2), (-5, 2), (7, 3), (-8, 3), (0, 9), (-12, 18)], "a long, b long")
+    assert [tuple(r) for r in df.select(S.round_div("a", "b"), S.gcd("a", "b")).collect()] == [(3, 1), (-3, 1), (2, 1), (-3, 1), (0, 9), (-1, 6)]
+
+
+@pytest.mark.parametrize("width", [3, 1000])
+def test_null_keys_come_first(spark, width):
+    df = spark.createDataFrame([(None, 5), (2, 1), (9, 2), (4, 3)], "k long, v long").repartition(3)
+    assert sorted((r.i, r.k) for r in ordered.indexed(df, "k", "i", width).collect()) == [(0, None), (1, 2), (2, 4), (3, 9)]
+    assert sorted(((r.s, r.k) for r in ordered.prefix_sum(df, "k", "v", "s", width).collect()), key=repr) == [(0, None), (5, 2), (6, 4), (9, 9)]
+    assert {r.k: r.p for r in ordered.previous(df, "k", "p", width).collect()} == {None: None, 2: None, 4: 2, 9: 4}
+    assert values(ordered.islands(df, "k", width=width), "first", "n") == [(2, 1), (4, 1), (9, 1)]
+    empty = df.where("v > 9")
+    assert ordered.indexed(empty, "k").count() == ordered.gaps(empty, "k").count() == ordered.cuts(empty, "k", "v", 4, 1.0).count() == 0
+
+
+@pytest.mark.parametrize("width", [2, 1000])
+def test_cuts_across_gaps(spark, width):
+    df = spark.createDataFrame([(1, 0.0), (5, 500.0), (8, 499.0), (9, None), (11, 10.0), (16, 10.0)], "k long, v double").repartition(2)
+    got = values(ordered.cuts(df, "k", "v", 8, 100.0, width), "k", "cut")
+    assert got == [(1, True), (5, True), (8, True), (9, False), (11, False), (16, True)]
+
+
+def test_budget_with_ties_and_skew(spark):
+    rng = np.random.default_rng(6)
+    cost = [7] * 900 + rng.integers(0, 30, 600).tolist()
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cost)] + [(5000, None)], "i long, c long").repartition(4)
+    for budget in (0, 50, 4000, 10**6):
+        want, total = [], 0
+        for c, i in sorted((c, i) for i, c in enumerate(cost)):
+            total += c
+            if total > budget:
+                break
+            want.append((i, total))
+        assert values(ordered.within_budget(df, "c", "i", budget), "i", "running") == sorted(want)
+    assert ordered.within_budget(df.where("i < 0"), "c", "i", 5).count() == 0
+
+
+def test_ranks_of_skewed_and_null_keys(spark):
+    rng = np.random.default_rng(3)
+    data = [("a", float(v)) for v in rng.normal(size=4000)] + [(None, 1.0), (None, 2.0), (None, 9.0), ("b", 5.0), ("c", None)]
+    df = spark.createDataFrame(data, "k string, v double").repartition(5)
+    own = {k: sorted(v for j, v in data if j == k and v is not None) for k in ("a", None, "b")}
+    got = {r.k: (r.n, r.p50, r.p99) for r in A.nearest_rank(df, ["k"], "v", [50, 99]).collect()}
+    assert got == {k: (len(v), v[max(0, math.ceil(len(v) * 0.5) - 1)], v[max(0, math.ceil(len(v) * 0.99) - 1)]) for k, v in own.items()}
+    assert {r.k: (r.runs, r.median) for r in A.median_of_runs(df, ["k"], "v").collect()} == {k: (len(v), statistics.median(v)) for k, v in own.items()}
+
+
+def test_a_bank_is_counted_first(spark, monkeypatch):
+    bank = spark.createDataFrame([(i, [float(i)]) for i in range(5)], "slot int, vec array<double>")
+    df = spark.createDataFrame([(1, [2.2])], "id long, v array<double>")
+    assert joins.bank_neighbours(df, "v", "id", bank).first().slot == 2
+    monkeypatch.setattr(joins, "BANK_ROWS", 4)
+    with pytest.raises(ValueError):
+        joins.bank_neighbours(df, "v", "id", bank)
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    from types import SimpleNamespace
+
+    from reelmill import session
+
+    conf = SimpleNamespace(get=lambda *_: None, set=lambda *_: None)
+    with pytest.raises(ValueError):
+        session.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
+    assert session.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local[2]"))).startswith("file://")
+
+
 def test_override_needs_all_bounds(spark):
     rows = [(1, True, 10.0, "b", 5, 5), (1, False, 1.0, "x", 6, 1), (1, False, 9.0, "y", 5, 5), (2, True, 3.0, "b", 1, 1), (2, False, 4.0, "z", 0, 0)]
     df = spark.createDataFrame(rows, "k int, base boolean, score double, m string, bits int, err int")
@@ -186,8 +301,8 @@ def test_empty_tables(spark, build):
     assert build(spark.createDataFrame([], "k int, v double")).count() == 0
 
 
-@pytest.mark.parametrize("width", [1, 3, 1000])
-def test_budget_prefix_stops_at_the_first_overflow(spark, width):
+@pytest.mark.parametrize("parts", [1, 3, 100])
+def test_budget_prefix_stops_at_the_first_overflow(spark, parts):
     rows = [(i, c) for i, c in enumerate([5, 0, 3, 3, 9, 1, 40, 0, 7])]
-    out = ordered.within_budget(spark.createDataFrame(rows, "i long, c long").repartition(3), "c", "i", 13, width)
+    out = ordered.within_budget(spark.createDataFrame(rows, "i long, c long").repartition(3), "c", "i", 13, parts)
     assert values(out, "i", "c", "running") == [(0, 5, 12), (1, 0, 0), (2, 3, 4), (3, 3, 7), (5, 1, 1), (7, 0, 0)]
