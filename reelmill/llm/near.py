@@ -31,7 +31,7 @@ BANDS, ROWS = 48, 6
 #: Values compared, a step at a time, and the posterior below which a pair is dropped.
 COMPARED, STEP, TOLERANCE = 128, 16, 1e-9
 #: Nodes of a block and bytes of its n-grams, about; nodes of a block of a band's group.
-BLOCK, BLOCK_BYTES, GROUP = 256, 32 << 20, 1024
+BLOCK, BLOCK_BYTES, GROUP = 256, 32 << 20, 256
 
 
 @lru_cache(4)
