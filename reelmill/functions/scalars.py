@@ -142,9 +142,11 @@ def size_label(n) -> Column:
 
 
 def fixed(v, digits: int) -> Column:
-    """Fixed digits; infinity as inf."""
+    """Fixed digits, halves of the shortest decimal form to even; infinity as inf, null as null."""
     v = col(v).cast("double")
-    return F.when(v == float("inf"), F.lit("inf")).otherwise(F.format_string(f"%.{digits}f", v))
+    even = F.bround(v.cast("decimal(38,12)"), digits).cast("string")
+    plain = F.format_string(f"%.{digits}f", v)
+    return F.when(v == float("inf"), F.lit("inf")).when(F.abs(v) < 1e25, even).when(v.isNotNull(), plain)
 
 
 def exact_sum(v, scale: int = 2) -> Column:

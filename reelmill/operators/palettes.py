@@ -10,15 +10,22 @@ from itertools import pairwise
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
 
 
-def usage(blocks: DataFrame, keys: list[str], colours: str) -> DataFrame:
-    """How many pixels use each colour number of each palette: keys, colour, pixels. Counted in the JVM, combined before the shuffle."""
-    return blocks.select(*keys, F.explode(colours).alias("colour")).groupBy(*keys, "colour").agg(F.count("*").alias("pixels"))
+def inside(across: str, down: str, width: int, height: int, size: int = 4) -> Column:
+    """The places of a block (its column and row of blocks) that lie inside a frame: those past its edge are padding."""
+    return F.filter(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda k: (F.col(across) * size + k % size < width) & (F.col(down) * size + F.floor(k / size) < height))
+
+
+def usage(blocks: DataFrame, keys: list[str], colours: str, places: Column | None = None) -> DataFrame:
+    """How many pixels use each colour number of each palette: keys, colour, pixels. places: which of a block's pixels count, all if
+    not given. Counted in the JVM, combined before the shuffle; blocks without colours count for nothing."""
+    colours_ = F.col(colours) if places is None else F.transform(places, lambda k: F.get(F.col(colours), k.cast("int")))
+    return blocks.select(*keys, F.explode(colours_).alias("colour")).groupBy(*keys, "colour").agg(F.count("*").alias("pixels"))
 
 
 def combined(bank: DataFrame, palette: str, weights: list[str]) -> DataFrame:

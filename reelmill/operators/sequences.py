@@ -92,3 +92,31 @@ def name_page(df: DataFrame, name: str, n: int, tail: bool = False) -> DataFrame
 def argmin(df: DataFrame, keys: list[str], order: list[Column], columns: list[str]) -> DataFrame:
     """The row of the lexicographically least `order` of each key."""
     return df.groupBy(*keys).agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("__r")).select(*keys, *[F.col(f"__r.{c}").alias(c) for c in columns])
+
+
+def motion_predictor(df: DataFrame, keys: list[str], row: str, column: str, x: str, y: str, fallback: tuple[int, int]) -> DataFrame:
+    """df with predict_x and predict_y: the median of the vectors to the left, above and above right; a neighbour outside the
+    picture counts as the fallback. Neighbours above are met by an equi-join on (row, column), one row each."""
+    vector = F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    above = df.select(*keys, (F.col(row) + 1).alias(row), F.col(column).alias(column), vector.alias("__top"))
+    right = df.select(*keys, (F.col(row) + 1).alias(row), (F.col(column) - 1).alias(column), vector.alias("__right"))
+    left = df.select(*keys, F.col(row).alias(row), (F.col(column) + 1).alias(column), vector.alias("__left"))
+    at = [*keys, row, column]
+    out = df.join(left, at, "left").join(above, at, "left").join(right, at, "left")
+    outside = F.struct(F.lit(fallback[0]).alias("x"), F.lit(fallback[1]).alias("y"))
+    for name in ("x", "y"):
+        near = [F.coalesce(F.col(c), outside)[name] for c in ("__left", "__top", "__right")]
+        out = out.withColumn(f"predict_{name}", F.array_sort(F.array(*near))[1])
+    return out.drop("__left", "__top", "__right")
+
+
+def best_vectors(df: DataFrame, keys: list[str], vector: list[str], cost: str, arrival: str, k: int) -> DataFrame:
+    """keys, vector, cost, rank: the k vectors of least cost of each key, each vector once at its least cost, ties to the first met."""
+    each = df.groupBy(*keys, *vector).agg(F.min(F.struct(F.col(cost), F.col(arrival))).alias("__c"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("__c"))
+    return each.withColumn("rank", place).where(F.col("rank") <= k).select(*keys, *vector, F.col(f"__c.{cost}").alias(cost), "rank")
+
+
+def first_frames(df: DataFrame, frame: str, most: int) -> DataFrame:
+    """Frames below a limit; zero is none."""
+    return df.where(F.col(frame) < most) if most else df

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import matching, ordering, summaries  # noqa: F401
+from . import matching, media, ordering, summaries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 from math import gcd
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .binary import FormatError, big, need, uint
 
@@ -369,3 +371,65 @@ def framed(data: bytes, magic: bytes = b"SWPB") -> Iterator[tuple]:
         valid = len(payload) == size and zlib.crc32(payload) == crc
         yield (n, at, seq, size, valid, payload)
         n, at = n + 1, at + (12 + size if valid else 1)
+
+
+LISTING = "name string, size long"
+LISTING_MAGIC = b"HLVL"
+
+
+def listing(data: bytes) -> Iterator[tuple]:
+    """Names and sizes of a directory listing: records magic, seq u32, size u32, name length u8, crc32 of both parts, name.
+
+    Records come in order; a repeated one is passed over, a damaged one or one too early is looked past, since it is sent again. A
+    record without a name ends the listing and gives their number; names come in case-folded order.
+    """
+    found: list[tuple] = []
+    at = 0
+    while (at := data.find(LISTING_MAGIC, at)) >= 0 and at + 17 <= len(data):
+        seq, size, length, crc = uint(data, at + 4, 4), uint(data, at + 8, 4), data[at + 12], uint(data, at + 13, 4)
+        name = data[at + 17 : at + 17 + length]
+        if len(name) < length or zlib.crc32(name, zlib.crc32(data[at : at + 13])) != crc or seq > len(found):
+            at += 1
+            continue
+        at += 17 + length
+        if seq < len(found):
+            continue
+        if not length and size == len(found):
+            yield from sorted(found, key=lambda f: f[0].casefold())
+            return
+        try:
+            text = name.decode("utf-8")
+        except UnicodeDecodeError:
+            continue
+        if text and "\0" not in text:
+            found.append((text, size))
+    raise FormatError("EOF: the listing has no end")
+
+
+def listing_bytes(files: list[tuple[str, int]]) -> bytes:
+    """A whole listing of (name, size)."""
+    out = b""
+    for seq, (name, size) in enumerate([*files, ("", len(files))]):
+        raw = name.encode()
+        head = LISTING_MAGIC + seq.to_bytes(4, "little") + size.to_bytes(4, "little") + bytes([len(raw)])
+        out += head + zlib.crc32(raw, zlib.crc32(head)).to_bytes(4, "little") + raw
+    return out
+
+
+# Four-character codes by which AVI files name each video codec.
+DIVX3_CODES = ("DIV3", "MP43", "DIV4", "DIV5", "DIV6", "AP41", "COL1", "COL0", "MPG3", "DVX3", "3IV1", "3IVD")
+MJPEG_CODES = ("MJPG",)
+
+
+def avi_adapter(headers: DataFrame, codes: tuple[str, ...]) -> DataFrame:
+    """Rows of an avi_headers() scan that a player of these codes takes: with audio ("none", "pcm_u8" or "ima_adpcm"), and whether the
+    file is accepted. Audio in another format is left out; PCM must be 8-bit mono, ADPCM 4-bit mono with one sample in a block's head
+    and two a byte after it, up to 48 kHz, or the file is refused. samples_per_block is 1 for PCM."""
+    tag, align, block = F.col("format_tag"), F.col("block_align"), F.col("samples_per_block")
+    kind = F.when(tag == 1, "pcm_u8").when(tag == 0x11, "ima_adpcm").otherwise("none")
+    pcm = (F.col("bits_per_sample") == 8) & (align == 1)
+    adpcm = (F.col("bits_per_sample") == 4) & (align > 4) & (block == 2 * (align - 4) + 1)
+    good = (F.col("channels") == 1) & F.col("sample_rate").between(1, 48000) & F.when(tag == 1, pcm).otherwise(adpcm)
+    out = headers.where(F.upper("compression").isin(*codes)).withColumn("audio", kind)
+    out = out.withColumn("accepted", (F.col("audio") == "none") | F.coalesce(good, F.lit(False)))
+    return out.withColumn("samples_per_block", F.when(F.col("audio") == "pcm_u8", 1).when(F.col("audio") == "ima_adpcm", block))

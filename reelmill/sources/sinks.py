@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fixed
+from ..operators.sequences import top_cost
 
 #: Rows of a report at most; a larger result belongs in a table.
 REPORT_ROWS = 100_000
@@ -37,7 +39,38 @@ def markdown(df: DataFrame, digits: dict[str, int] | None = None) -> str:
     return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *(line(list(r)) for r in rows)])
 
 
-def nested_report(df: DataFrame, keys: list[str]) -> DataFrame:
-    """A JSON document for each key with all its rows in order."""
-    rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct(*rest))).alias("results"))).alias("document"))
+# The columns of each log and how a number is written; None for text and integers.
+QUALITY_LOG = {"frame": None, "target_psnr": 4, "actual_psnr": 4, "motion_mad": 4, "raw_motion_mad": 4, "detail": 4, "q_y": None, "q_uv": None, "packet_bytes": None, "frame_type": None}
+WINDOW_LOG = {"window": None, "first_frame": None, "frames": None, "trials": None, "chosen_q": None, "probe_bytes": None, "target_bytes": 0, "actual_bytes": None, "actual_kbps": 3, "relative_error": 6, "debt_bytes": 0}
+PEAK_LOG = {"rank": None, "frame": None, "gop_start": None, "type": None, "video_bytes": None, "host_cycles": None}
+
+
+def log_rows(df: DataFrame, log: dict[str, int | None]) -> DataFrame:
+    """The log's columns in order, as text; a null is an empty field."""
+    return df.select(*[F.coalesce(F.col(c).cast("string") if d is None else fixed(c, d), F.lit("")).alias(c) for c, d in log.items()])
+
+
+def peak_frames(df: DataFrame, n: int = 128) -> DataFrame:
+    """The n frames of most host_cycles, ties to the lower frame, with their rank, K or P as type."""
+    top = top_cost(df.select("frame", "gop_start", F.when(F.col("keyframe"), "K").otherwise("P").alias("type"), "video_bytes", "host_cycles"), "host_cycles", ["frame"], n)
+    return top.select(*PEAK_LOG)
+
+
+def write_log(df: DataFrame, log: dict[str, int | None], path: str) -> None:
+    write_csv(log_rows(df, log), path)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file at a name that its reader expects, on any file system that Spark knows; an old one is replaced."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def pattern(width: int, height: int, frame: int, phase: int = 0) -> bytes:
+    """Luma of a synthetic test frame: slanted ramps that move with the frame, the same everywhere and always."""
+    y, x = np.mgrid[0:height, 0:width]
+    return ((3 * x + 5 * y + 7 * frame + phase) & 255).astype("u1").tobytes()

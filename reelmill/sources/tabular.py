@@ -28,15 +28,15 @@ def sources(spark: SparkSession, patterns: list[str]) -> list[str]:
     return list(found)
 
 
-def results(spark: SparkSession, path: str, matched: bool = False, report: bool = False) -> DataFrame:
-    """Benchmark rows from JSON arrays, infinite levels included; no file, no rows. Absent SSIM columns are zero. For a report, no rows
+def results(spark: SparkSession, path: str, matched: bool = False, report: bool = False, lines: bool = False) -> DataFrame:
+    """Benchmark rows from JSON arrays, or from `lines` as the results sink writes them, infinite levels included; no file, no rows. Absent SSIM columns are zero. For a report, no rows
     are an error."""
     schema = MATCHED if matched else RESULT
     if not _exists(spark, path):
         if report:
             raise ValueError(f"no results in {path}")
         return spark.createDataFrame([], schema)
-    out = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    out = spark.read.schema(schema).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
     if report and not out.limit(1).count():
         raise ValueError(f"no results in {path}")
     return out.fillna(0.0, [c for c in out.columns if c.startswith("ssim_")])
@@ -105,12 +105,13 @@ def scalar(text: str):
 
 
 def _uncommented(line: str) -> str:
-    """The line up to a # that begins it or follows a blank, outside quotes. A quote opens where a value begins."""
+    """The line up to a # that begins it or follows a blank, outside quotes. A quote opens where a value begins; a doubled one closes and
+    opens again."""
     quote, before = None, " "
     for i, c in enumerate(line):
         if quote:
             quote = None if c == quote else quote
-        elif c in "'\"" and before == " ":
+        elif c in "'\"" and before in (" ", c):
             quote = c
         elif c == "#" and before == " ":
             return line[:i].rstrip()
