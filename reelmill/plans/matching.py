@@ -118,9 +118,12 @@ def block_hash(t):
     return C.block_hashes(t.documents, "doc_id", "text", 4096).drop("crc32")
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT p_partkey, CAST(b * 4 AS BIGINT) AS o, substring(p_name, CAST(b * 4 + 1 AS BIGINT), 4) AS s FROM part, range(0, 16) AS r(b) WHERE b * 4 < length(p_name)),
+ f AS (SELECT p_partkey, o, s, 0 AS k, CAST(4294967295 AS BIGINT) AS crc FROM c UNION ALL SELECT p_partkey, o, s, k + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, CAST(3988292384 AS BIGINT)) ELSE x >> 1 END FROM
+ (SELECT *, CASE WHEN k % 8 = 0 THEN xor(crc, CAST(ord(substring(s, k // 8 + 1, 1)) AS BIGINT)) ELSE crc END AS x FROM f WHERE k < 8 * length(s)))
+ SELECT p_partkey, o AS "offset", length(s) AS size, xor(crc, CAST(4294967295 AS BIGINT)) AS crc32 FROM f WHERE k = 8 * length(s)""")
 def block_crc(t):
-    return C.block_hashes(t.documents, "doc_id", "text", 4096).drop("sha256")
+    return C.block_hashes(t.part, "p_partkey", "p_name", 4).drop("sha256")
 
 
 @query("""SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, m[i] AS value FROM (SELECT doc_id, regexp_extract_all(text, '([0-9]{2,})', 1) AS m FROM documents), unnest(range(1, len(m) + 1)) AS u(i)""")
@@ -133,9 +136,10 @@ def last_match(t):
     return t.events.select("event_id", C.last_match(F.col("props"), "([0-9])").alias("digit"))
 
 
-@query()
+@query("""WITH RECURSIVE f AS (SELECT p_partkey, p_name AS s, 0 AS k, CAST(14695981039346656037 AS HUGEINT) AS h FROM part UNION ALL
+ SELECT p_partkey, s, k + 1, (xor(h, CAST(ord(substring(s, k + 1, 1)) AS HUGEINT)) * 1099511628211) % 18446744073709551616 FROM f WHERE k < length(s)) SELECT p_partkey, lpad(lower(hex(CAST(h AS UBIGINT))), 16, '0') AS fnv1a FROM f WHERE k = length(s)""")
 def fnv_checksum(t):
-    return C.fnv1a(t.documents, "doc_id", "text")
+    return C.fnv1a(t.part, "p_partkey", "p_name")
 
 
 @query("""WITH c AS (SELECT p_partkey, concat_ws(';', p_size || '+' || (p_partkey % 7 + 1), (p_size + 100) || '+3') AS cell FROM part)

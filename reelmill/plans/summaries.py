@@ -66,7 +66,7 @@ def mode_histogram(t):
     return A.mode_histogram(t.events, "event_type", MODES)
 
 
-@query()
+@query("""WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) SELECT user_id, concat('{', string_agg(concat('"', event_type, '":', n), ',' ORDER BY event_type), '}') AS modes FROM c GROUP BY 1""")
 def mode_map(t):
     return A.mode_map(t.events, ["user_id"], "event_type").select("user_id", F.to_json("modes").alias("modes"))
 
@@ -156,6 +156,6 @@ def rate_projections(t):
     return g.select("l_shipmonth", F.round(S.bitrate_kbps("b", "s"), 6).alias("kbps"), F.round(S.fps("n", "s"), 9).alias("fps"), F.round(S.error_percent("n", F.lit(700.0)), 6).alias("error_percent"))
 
 
-@query()
+@query("""SELECT n_regionkey, concat('{"results":[', string_agg(concat('{"n_nationkey":', n_nationkey, ',"n_name":"', n_name, '"}'), ',' ORDER BY n_nationkey), ']}') AS report FROM nation GROUP BY 1""")
 def report_documents(t):
     return A.report_json(t.nation.select("n_regionkey", "n_nationkey", "n_name"), ["n_regionkey"])
