@@ -327,6 +327,59 @@ def configured_videos(t):
     return tabular.config_frame(t.spark, tabular.transcode_config("\n".join(lines))).select("name", "input", "width", "fps", "toleranceDb", "audio", "gop")
 
 
+def _avi(t):
+    """A file for each nation: ten video packets of growing size, one of audio after each second."""
+    ship(t.spark)
+
+    @F.pandas_udf("binary")
+    def build(keys: pd.Series) -> pd.Series:
+        packets = [p for i in range(10) for p in ([("V", bytes(5 + i))] + [("A", bytes(3))] * (i % 2))]
+        return pd.Series([containers.write_avi(32 + int(k), 24, 30000, 1001, packets) for k in keys])
+
+    return t.nation.select(F.col("n_nationkey").cast("string").alias("file"), build("n_nationkey").alias("content"))
+
+
+_PACKETS = """p AS (SELECT CAST(n_nationkey AS VARCHAR) AS file, k, i, CASE k WHEN 'V' THEN 5 + i ELSE 3 END AS size, row_number() OVER (PARTITION BY n_nationkey ORDER BY i, k DESC) - 1 AS n FROM nation, range(0, 10) AS r(i), (VALUES ('V'), ('A')) AS v(k) WHERE k = 'V' OR i % 2 = 1),
+ o AS (SELECT *, coalesce(sum(8 + size + size % 2) OVER (PARTITION BY file ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p)"""
+
+
+@query(f"""WITH {_PACKETS} SELECT file, n AS packet, k AS kind, size, CAST(before + 8 AS BIGINT) AS inside FROM o""")
+def avi_packets(t):
+    files = _avi(t)
+    movi = B.rows(files, containers.avi_headers, containers.AVI_HEADER).select("file", "movi_start")
+    out = B.rows(files, containers.avi_packets, containers.AVI_PACKET).join(movi, "file")
+    return out.select("file", "packet", "kind", "size", (F.col("offset") - F.col("movi_start")).alias("inside"))
+
+
+@query(f"""WITH {_PACKETS} SELECT file, n AS entry, CASE k WHEN 'V' THEN '00dc' ELSE '01wb' END AS chunk, CASE k WHEN 'V' THEN CAST(16 AS BIGINT) ELSE 0 END AS flags, CAST(before + 4 AS BIGINT) AS "offset", size FROM o""")
+def avi_entries(t):
+    return B.rows(_avi(t), containers.avi_index, containers.AVI_INDEX)
+
+
+@query("""SELECT CAST(n_nationkey AS VARCHAR) AS file, 32 + n_nationkey AS width, 24 AS height, 'MJPG' AS compression, CAST(10 AS BIGINT) AS length, CAST(30000 AS BIGINT) AS fps_num, CAST(1001 AS BIGINT) AS fps_den, 'pcm_u8' AS audio, 8000 AS sample_rate FROM nation""")
+def avi_players(t):
+    heads = B.rows(_avi(t), containers.avi_headers, containers.AVI_HEADER)
+    return containers.avi_adapter(heads, containers.MJPEG_CODES).where("accepted").select("file", "width", "height", "compression", "length", "fps_num", "fps_den", "audio", F.col("sample_rate").cast("int").alias("sample_rate"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, length(event_type) AS s, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) SELECT CAST(user_id AS VARCHAR) AS file, CAST(n * 6 + (n - 1) * 12 + coalesce(sum(s) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
+ CAST(event_id % 65536 AS INTEGER) AS seq, CAST(s AS INTEGER) AS size, event_id % 9 <> 0 AS valid FROM e""")
+def framed_records(t):
+    ship(t.spark)
+
+    def build(part: pd.DataFrame) -> pd.DataFrame:
+        out = b""
+        for e, kind in part.sort_values("event_id")[["event_id", "event_type"]].itertuples(index=False):
+            record = bytearray(containers.write_framed([(e % 65536, kind.encode())]))
+            if e % 9 == 0:
+                record[-1] ^= 1  # damaged on the line
+            out += b"noise." + bytes(record)
+        return pd.DataFrame({"file": [str(part["user_id"].iloc[0])], "content": [out]})
+
+    files = t.events.select("user_id", "event_id", "event_type").groupBy("user_id").applyInPandas(build, "file string, content binary")
+    return B.rows(files, containers.framed, containers.FRAMED).select("file", "offset", "seq", "size", "valid")
+
+
 # Kernels
 
 _SIXTEEN = "list_transform(range(1, 17), lambda k: (p_partkey * k * 37 + p_size * k) % 256)"
@@ -433,6 +486,14 @@ def nearest_palettes(t):
     return motion.nearest_palettes(_pixels(t), "p_partkey", "pixels", _BANKS)
 
 
+@query("""WITH b AS (SELECT event_id // 60 AS frame, event_id % 60 % 10 AS x, event_id % 60 // 10 AS y, event_id * event_id % 7 AS c FROM events), s AS (SELECT dy, dx, greatest(abs(dy), abs(dx)) AS ring FROM range(-2, 3) AS a(dy), range(-2, 3) AS b(dx) WHERE dy <> 0 OR dx <> 0),
+ m AS (SELECT b.frame, b.x, b.y, dy, dx, row_number() OVER (PARTITION BY b.frame, b.x, b.y ORDER BY ring, dy, dx) AS i FROM b, s JOIN b o ON o.frame = b.frame - 1 AND o.c = b.c AND o.x = b.x + dx AND o.y = b.y + dy) SELECT frame, x, y, CAST(dy AS INTEGER) AS dy, CAST(dx AS INTEGER) AS dx FROM m WHERE i = 1""")
+def exact_motion(t):
+    e = F.col("event_id")
+    grid = t.events.select(F.floor(e / 60).alias("frame"), (e % 60 % 10).alias("x"), F.floor(e % 60 / 10).alias("y"), (e * e % 7).alias("c"))
+    return P.exact_motion(grid, "frame", "x", "y", "c", 2)
+
+
 # Searches
 
 _RATES = (105.0, 333.3, 900.0, 4000.0)

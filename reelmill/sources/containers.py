@@ -270,6 +270,25 @@ def avi_packets(data: bytes) -> Iterator[tuple]:
         at += 8 + size + (size & 1)
 
 
+def write_avi(width: int, height: int, num: int, den: int, packets: list[tuple[str, bytes]], code: bytes = b"MJPG", rate: int = 8000) -> bytes:
+    """A file of (V or A, payload) packets in order, with 8-bit mono PCM as audio and an index."""
+    le = lambda *v: b"".join(int(x).to_bytes(4, "little") for x in v)
+    chunk = lambda name, data: name + le(len(data)) + data + b"\0" * (len(data) & 1)
+    n = sum(k == "V" for k, _ in packets)
+    most = max((len(d) for _, d in packets), default=0)
+    main = chunk(b"avih", le(1_000_000 * den // num, 0, 0, 16, n, 0, 2, most, width, height) + bytes(16))
+    video = chunk(b"strh", b"vids" + code + le(0, 0, 0, den, num, 0, n, most, 0, 0) + bytes(8)) + chunk(b"strf", le(40, width, height) + (1).to_bytes(2, "little") + (24).to_bytes(2, "little") + code + bytes(20))
+    form = b"".join(int(v).to_bytes(k, "little") for v, k in ((1, 2), (1, 2), (rate, 4), (rate, 4), (1, 2), (8, 2)))
+    sound = chunk(b"strh", b"auds" + bytes(4) + le(0, 0, 0, 1, rate, 0, 0, most, 0, 1) + bytes(8)) + chunk(b"strf", form)
+    head = chunk(b"LIST", b"hdrl" + main + chunk(b"LIST", b"strl" + video) + chunk(b"LIST", b"strl" + sound))
+    body, index = b"movi", b""
+    for kind, data in packets:
+        name = b"00dc" if kind == "V" else b"01wb"
+        index += name + le(16 if kind == "V" else 0, len(body), len(data))
+        body += chunk(name, data)
+    return chunk(b"RIFF", b"AVI " + head + chunk(b"LIST", body) + chunk(b"idx1", index))
+
+
 AVI_INDEX = "entry long, chunk string, flags long, offset long, size long"
 
 
@@ -362,6 +381,12 @@ def wav(data: bytes) -> Iterator[tuple]:
 FRAMED = "record long, offset long, seq int, size int, valid boolean, payload binary"
 
 
+def write_framed(records: list[tuple[int, bytes]], magic: bytes = b"SWPB") -> bytes:
+    """Records (seq, payload) one after the other."""
+    le = lambda v, n: int(v).to_bytes(n, "little")
+    return b"".join(magic + le(seq, 2) + le(len(p), 2) + le(zlib.crc32(p), 4) + p for seq, p in records)
+
+
 def framed(data: bytes, magic: bytes = b"SWPB") -> Iterator[tuple]:
     """Records magic, seq u16, size u16, crc32, payload anywhere in noise. After a bad checksum the search goes on one byte later."""
     at = n = 0
