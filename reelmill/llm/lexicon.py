@@ -117,7 +117,7 @@ class Transducer:
 
     @classmethod
     def mapped(cls, data: bytes) -> Transducer:
-        """The compiled bytes in a file of this worker, mapped and then unlinked: pages are shared and nothing is left behind."""
+        """The compiled bytes in a file of this worker, mapped and then unlinked: nothing is left behind, and pages leave memory first."""
         with tempfile.TemporaryFile() as f:
             f.write(data)
             f.flush()

@@ -7,7 +7,10 @@ the length compressed: text above the band repeats itself, text below it is nois
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate, pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +33,8 @@ BANDS = (
 )
 #: Share of chunks that may leave their band.
 CHUNK_SHARE = 0.1
+#: Texts that bands are fitted to at most, about, ratios that a band needs, and classes of a ratio a unit.
+FITTED, FEW, CLASSES = 20_000, 20, 1000
 _OUT = pa.schema([(n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("base_failed", pa.bool_()), ("ratio", pa.float64()), ("bad_chunks", pa.int64()), ("n_chunks", pa.int64()), ("kept", pa.bool_())])
 
 
@@ -68,6 +73,63 @@ def in_band(size: int, packed: int, bands=BANDS) -> bool:
     return True
 
 
+def fit_bands(good: DataFrame, rows: int = FITTED, outside: float = 0.001, below: float = 0.02, above: float = 0.01, level: int = LEVEL) -> tuple:
+    """Bands for another corpus, from good (text): texts known to be good, of which about `rows` are looked at, by their hash.
+
+    Ratios are taken of whole texts and of their word-aligned cuts at three lengths of each band, for long bands of texts joined one after
+    the other. A band is the quantiles `outside` and 1 - `outside` of its ratios, `below` lower and `above` higher; of few
+    ratios these are the least and the most, and a band with fewer than FEW takes its neighbour's limits. Equal texts count once; null and empty ones not at all; no texts:
+    BANDS. Only counts by band and class of ratio reach the driver.
+    """
+    edges = [b[0] for b in BANDS]
+    sizes = sorted({low + (high - low) * k // 3 for low, high in pairwise([32, *edges[:-1]]) for k in (1, 2, 3)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=level, write_content_size=False, write_checksum=False).compress
+        joined, seen = b"", Counter()
+
+        def count(data: bytes) -> None:
+            if data:
+                seen[bisect_left(edges, len(data)), round(CLASSES * len(data) / len(pack(data)))] += 1
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                data = text.encode("utf-8", "surrogatepass")
+                count(data)
+                joined += data + b" "
+                for size in sizes:
+                    if size <= len(data):
+                        end = data.rfind(b" ", size * 9 // 10, size)
+                        count(data[: end if end > 0 else size])
+                    elif size <= len(joined) <= 2 * size:
+                        count(joined[:size])
+                if len(joined) > edges[-2]:
+                    count(joined)
+                    joined = b""
+        yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in seen], pa.int32()) for i in (0, 1)] + [pa.array(list(seen.values()), pa.int64())], names=["band", "step", "n"])
+
+    arrow_rows(good.sparkSession)
+    texts = good.where(F.length("text") > 0).select(F.col("text").cast("string").alias("text")).distinct()
+    of = max(1, texts.count())
+    texts = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.ceil(F.lit(float(rows << 30)) / of))
+    found: dict[int, list] = {}
+    for r in texts.mapInArrow(run, "band int, step int, n long").groupBy("band", "step").agg(F.sum("n").alias("n")).orderBy("band", "step").collect():
+        found.setdefault(r.band, []).append((r.step / CLASSES, r.n))
+    limits = {}
+    for band, own in found.items():
+        total = sum(n for _, n in own)
+        if total >= FEW:
+            upto = list(accumulate(n for _, n in own))
+            low, high = (own[bisect_left(upto, q * total)][0] for q in (outside, 1 - outside))
+            limits[band] = (low * (1 - below), high * (1 + above))
+    if not limits:
+        return BANDS
+    nearest = lambda i: limits[min(limits, key=lambda k: (abs(k - i), k))]
+    return tuple((e, *nearest(i)) for i, e in enumerate(edges))
+
+
 def judge(docs: DataFrame, chunk: int = CHUNK, level: int = LEVEL, bands=BANDS, chunk_share: float = CHUNK_SHARE) -> DataFrame:
     """docs (text, any other columns, whatever their names) with the columns of _OUT appended, a column of the same name replaced.
 

@@ -314,6 +314,21 @@ def test_default_bands_decide(spark):
     assert share[1] > 0.99 and share[0] < 0.4
 
 
+def test_fitted_bands_keep_good_texts_and_reject_noise(spark):
+    import random
+
+    at = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{at}/documents.parquet").join(spark.read.parquet(f"{at}/labels.parquet"), "doc_id")
+    good = quality.judge(docs).where("quality = 1 AND NOT base_failed").select("doc_id", "text")
+    bands = quality.fit_bands(good, outside=0.002)
+    assert [b[0] for b in bands] == [b[0] for b in quality.BANDS] and all(0 < lo < hi for _, lo, hi in bands)
+    kept = quality.judge(good, bands=bands).agg(F.avg(F.col("kept").cast("double"))).first()[0]
+    rng = random.Random(1)
+    noise = [" ".join("".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(3, 9))) for _ in range(n)) for n in (300, 2400)]
+    assert kept > 0.97 and not any(r.kept for r in quality.judge(spark.createDataFrame([(t,) for t in noise], "text string"), bands=bands).collect())
+    assert quality.fit_bands(good, outside=0.002) == bands and quality.fit_bands(good.where("doc_id < 0")) == quality.BANDS
+
+
 # Languages
 
 
