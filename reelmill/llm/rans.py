@@ -251,27 +251,42 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = END_ID, block:
 
 
 def read(folder: str, files: DataFrame, contents: bool = True) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and, if `contents`, ids (little-endian unsigned 32-bit), decoded from the files."""
+    """doc_id, start, n_tokens, ids_crc32 and, if `contents`, ids (little-endian unsigned 32-bit), decoded from the files.
+
+    The blocks' heads are read first; then each block is decoded by itself, from its own states, wherever a task is free. A block
+    whose checksum fails raises. No files: no rows. Null doc_ids come back as null, repeated rows a row each.
+    """
     arrow_rows(files.sparkSession)
     names = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(f"{folder}/frequencies")
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file in batch.column(0).to_pylist():
                 where, name = _open(file)
+                places, sizes, at = [], [], 0
                 with where.open_input_file(name) as f:
-                    end, at = f.size(), 0
+                    end = f.size()
                     while at < end:
-                        head = f.read_at(72, at)
-                        data = f.read_at(72 + int(np.frombuffer(head, "<i8", 2)[1]), at)
-                        at += len(data)
-                        _, doc_ids, nulls, sizes, ids, start = read_block(table, data, 0)
-                        raw, ends = ids.astype("<u4").tobytes(), np.cumsum(sizes)
-                        own = [raw[4 * (e - s) : 4 * e] for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
-                        cols = [pa.array(doc_ids, mask=nulls.astype(bool)), pa.array(start + ends - sizes), pa.array(sizes), pa.array(map(zlib.crc32, own), pa.int64()), pa.array(own if contents else [None] * len(own), pa.binary())]
-                        yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    spread = files.repartition(max(1, files.sparkSession.sparkContext.defaultParallelism))
-    out = spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+                        size = 72 + int(np.frombuffer(f.read_at(72, at), "<i8", 2)[1])
+                        places.append(at)
+                        sizes.append(size)
+                        at += size
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(places), pa.string()), pa.array(places, pa.int64()), pa.array(sizes, pa.int64())], names=["file", "at", "size"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _table(f"{folder}/frequencies")
+        for batch in batches:
+            for file, at, size in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                where, name = _open(file)
+                with where.open_input_file(name) as f:
+                    data = f.read_at(size, at)
+                _, doc_ids, nulls, sizes, ids, start = read_block(table, data, 0)
+                raw, ends = ids.astype("<u4").tobytes(), np.cumsum(sizes)
+                own = [raw[4 * (e - s) : 4 * e] for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
+                cols = [pa.array(doc_ids, mask=nulls.astype(bool)), pa.array(start + ends - sizes), pa.array(sizes), pa.array(map(zlib.crc32, own), pa.int64()), pa.array(own if contents else [None] * len(own), pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    tasks = max(files.sparkSession.sparkContext.defaultParallelism, files.count())
+    blocks = files.repartition(tasks).mapInArrow(heads, "file string, at long, size long").repartition(tasks)
+    out = blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
     return out if contents else out.drop("ids")
