@@ -214,11 +214,11 @@ _FOLD = "FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1"
  SELECT user_id, i, event_id, q0, b, CAST(greatest(1, least(255, CASE WHEN n = q0 AND v - 50 > 4 THEN n + 1 WHEN n = q0 AND v - 50 < -4 THEN n - 1 ELSE n END)) AS BIGINT) FROM
  (SELECT *, CAST(floor(q0 * least(1.25, greatest(0.8, exp(CASE WHEN k THEN 0.06 ELSE 0.16 END * ln((v + 1) / 51) + 0.22 * (b / (50.0 * 24 + 1))))) + 0.5) AS BIGINT) AS n FROM
  (SELECT e.user_id, e.i, e.event_id, e.v, e.k, f.q AS q0, (f.buffer + (e.v - 50)) * (1 - CAST(1 AS DOUBLE) / 24) AS b FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)))
- SELECT user_id, event_id, used AS q_used, round(buffer, 6) AS buffer, q AS q_next FROM f WHERE i > 0""")
+ SELECT user_id, event_id, used AS q_used, round(buffer, 9) AS buffer, q AS q_next FROM f WHERE i > 0""")
 def leaky_bucket(t):
     rows = t.events.select("user_id", "event_id", "value", (F.col("event_type") == "signup").alias("key"))
     out = state.fold(rows, ["user_id"], ["event_id"], ["value", "key"], lambda: state.LeakyBucket(50.0, size="value"), "q_used long, buffer double, q_next long")
-    return out.withColumn("buffer", F.round("buffer", 6))
+    return out.withColumn("buffer", F.round("buffer", 9))
 
 
 @query(f"""WITH RECURSIVE e AS ({_STEPS}), f AS (SELECT user_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS event_id, CAST(0 AS DOUBLE) AS target, CAST(0 AS DOUBLE) AS error, CAST(0 AS DOUBLE) AS debt FROM e WHERE i = 1 UNION ALL
