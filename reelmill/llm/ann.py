@@ -5,7 +5,7 @@ sample of its rows, until leaves hold about LEAF rows whatever the size of the t
 that it meets a priority queue holds the branches not yet taken by distance to their centres, and each pop descends to the nearest
 leaf below; of the leaves met in all trees of a level the nearest go on. How many is calibrated, level by level, against exact
 neighbours of some queries, widening until the wanted recall is reached. A hot leaf is dealt out to several tasks by blocks of rows
-and of queries, and each sends on ten rows a query.
+and of queries. A task merges what it finds and sends on ten rows a query, however many leaves of it the query visits.
 """
 
 from __future__ import annotations
@@ -24,13 +24,13 @@ from pyspark.sql.window import Window
 from ._store import arrow_rows, settled, spread
 
 #: Rows that a tree is fitted to at most, about; rows that a leaf should hold, and beyond which it is split; children of a node, rounds.
-SAMPLE, LEAF, SPLIT, BRANCH, ROUNDS = 20_000, 128, 1024, 16, 12
+SAMPLE, LEAF, SPLIT, BRANCH, ROUNDS = 20_000, 512, 2048, 16, 12
 #: Leaves of one tree at most: rows of the sample that each stands for.
 LEAST = 40
 #: Calibration queries, neighbours sought, recall wanted of the calibration queries, levels at most.
 CALIBRATED, K, RECALL, LEVELS = 200, 10, 0.97, 8
-#: Rows, and queries, of a leaf that meet in one task at once.
-BLOCK, ASKED = 4096, 1024
+#: Rows, and queries, of a leaf that meet in one task at once; rows found that a task gathers before it merges them.
+BLOCK, ASKED, GATHERED = 4096, 1024, 500_000
 
 
 @dataclass
@@ -57,8 +57,9 @@ class Tree:
         return out
 
     def visits(self, q: np.ndarray) -> Iterator[tuple[int, float]]:
-        """Leaves in best-bin-first order with the squared distance to their centres, all of them in the end."""
-        heap = [(0.0, 0)]
+        """Leaves in best-bin-first order, all of them in the end, with the largest squared distance that was taken up to each: it rises
+        along the order, so leaves of several trees can be put in one."""
+        heap, most = [(0.0, 0)], 0.0
         while heap:
             near, node = heapq.heappop(heap)
             while self.leaf[node] < 0:
@@ -67,7 +68,8 @@ class Tree:
                 for i in order[1:]:
                     heapq.heappush(heap, (float(d[i]), self.children[node][i]))
                 near, node = float(d[order[0]]), self.children[node][order[0]]
-            yield self.leaf[node], near
+            most = max(most, near)
+            yield self.leaf[node], most
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -156,11 +158,29 @@ def _all(n):
     return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
 
-def _meeting(first: DataFrame, second: DataFrame, parts: int, meet: Callable, schema: str) -> DataFrame:
-    """meet(leaf, rows of kind 0, batch of rows of kind 1) for each (leaf, row block, query block): a task holds one block's rows."""
+def _meeting(first: DataFrame, second: DataFrame, parts: int, meet: Callable, schema: str, merge: Callable | None = None) -> DataFrame:
+    """meet(leaf, rows of kind 0, batch of rows of kind 1) for each (leaf, row block, query block): a task holds one block's rows, and
+    at most about GATHERED rows of what meet gives, if merge(batches) reduces them before they leave the task."""
     both = first.unionByName(second).repartition(parts, "leaf", "row", "ask").sortWithinPartitions("leaf", "row", "ask", "kind", "vec_id")
 
+    def reduced(made: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in made:
+            held.append(batch)
+            n += batch.num_rows
+            if n > GATHERED:
+                held = [merge(held)]
+                n = held[0].num_rows
+                if n > GATHERED // 2:
+                    yield held[0]
+                    held, n = [], 0
+        if held:
+            yield merge(held)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return reduced(met(batches)) if merge else met(batches)
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
             leaf, row, ask, kind = (batch.column(i) for i in range(4))
@@ -254,7 +274,7 @@ def _walked(pool: DataFrame, trees: DataFrame, limit: int | None) -> DataFrame:
 
 
 def _ranked(pool: DataFrame) -> DataFrame:
-    return pool.withColumn("rank", F.row_number().over(Window.partitionBy("vec_id").orderBy("near", "leaf")))
+    return pool.withColumn("rank", F.row_number().over(Window.partitionBy("vec_id").orderBy("near", "step", "leaf")))
 
 
 def _next(pool: DataFrame, trees: DataFrame, limit: int | None) -> DataFrame:
@@ -288,7 +308,7 @@ def _nearest(rows: DataFrame, asked: list, k: int) -> DataFrame:
 
 def _wanted(truth: DataFrame, pool: DataFrame, recall: float) -> int:
     """Leaves that a query must visit so that `recall` of the true neighbours lie in them."""
-    met = truth.join(pool.select("vec_id", "leaf", F.greatest("rank", F.col("step") + 1).alias("at")), ["vec_id", "leaf"]).select("at")
+    met = truth.join(pool.select("vec_id", "leaf", F.col("rank").alias("at")), ["vec_id", "leaf"]).select("at")
     ranks = sorted(r["at"] for r in met.collect())  # k for each calibration query
     return ranks[min(len(ranks), int(np.ceil(recall * len(ranks)))) - 1] if ranks else 1
 
@@ -308,7 +328,15 @@ def _met(rows: DataFrame, pool: DataFrame, k: int) -> DataFrame:
             out += [(own, int(a), float(b)) for a, b in zip(*_exact(q[i], own, held.ids, held.x, k), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
 
-    found = _meeting(stored, asked, spread(rows), meet, "query_id long, vec_id long, score double")
+    def merge(found: list[pa.RecordBatch]) -> pa.RecordBatch:
+        q, ids, score = (np.concatenate([b.column(i).to_numpy() for b in found]) for i in range(3))
+        by = np.lexsort((ids, score, q))
+        begins = np.flatnonzero(np.append(True, q[by][1:] != q[by][:-1])) if len(by) else np.zeros(0, np.int64)
+        place = np.arange(len(by)) - np.repeat(begins, np.diff(np.append(begins, len(by))))
+        by = by[place < k]
+        return pa.RecordBatch.from_arrays([pa.array(c[by]) for c in (q, ids, score)], names=["query_id", "vec_id", "score"])
+
+    found = _meeting(stored, asked, spread(rows), meet, "query_id long, vec_id long, score double", merge)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", place.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -335,7 +363,7 @@ def _space(rows: DataFrame, queries: DataFrame, k: int, recall: float, sample: i
         now = settled(_placed(now, trees, sizes), "placed")
         whole = settled(_next(tried, trees, None), "tried")
         limit = _wanted(truth, whole, 1 - (1 - recall) / 2 ** (level + 1))
-        tried = whole.where(F.greatest("rank", F.col("step") + 1) <= limit).select(*pool.columns)
+        tried = whole.where(F.col("rank") <= limit).select(*pool.columns)
         pool = settled(_next(pool, trees, limit).where(F.col("rank") <= limit).select(*pool.columns), "visits")
     for r in ready:
         now = now.unionByName(r.select(*now.columns))
